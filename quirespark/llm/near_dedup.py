@@ -13,7 +13,7 @@
    also agree in a sketch of 512 bins. So a large group of copies costs about its size, not its square.
 
 A pair at similarity 0.8 misses step 2 with probability about 1e-6 (binomial: fewer than 12 of 32 coordinates agree)
-and step 3 with about 4e-6 (fewer than 34 of 64; fewer than 71 % of 512 bins is rarer); all fall fast above 0.8. No list, bucket or candidate is capped.
+and step 3 with about 4e-6 (fewer than 34 of 64; five deviations below the expected bins is rarer); all fall fast above 0.8. No list, bucket or candidate is capped.
 """
 
 from __future__ import annotations
@@ -30,8 +30,9 @@ from .kernel import iter_words, mix, separators, shingle_sets
 
 COORDINATES, MATCHES = 64, 34
 POSTED, POSTED_MATCHES = 32, 12
-#: Bins of the sketch that lists with several components are compared by, and the share of them that must agree.
-BINS, SKETCH_SHARE = 512, 0.71
+#: Bins of the sketch that lists with several components are compared by, and the standard deviations below the expected
+#: share of equal bins that a pair may be. Bins sample the union without replacement, so small sets are judged sharply.
+BINS, DEVIATIONS = 512, 5.0
 #: Members of a list that one comparison step holds from either side.
 BLOCK = 512
 
@@ -143,7 +144,9 @@ def _across(batches: Iterator[pa.RecordBatch], percent: int, best: bool) -> Iter
             j = j[ok]
             x, y = sketch[j], sketch[i]
             hits, bins = ((x == y) & (y > 0)).sum(axis=1), ((x > 0) | (y > 0)).sum(axis=1)
-            ok = hits >= SKETCH_SHARE * bins
+            share, union = percent / 100, (n[j] + n[i]) / (1 + percent / 100)
+            spread = np.sqrt(share * (1 - share) / bins * np.maximum(1 - bins / np.maximum(union, bins), 0.02))
+            ok = hits >= (share - DEVIATIONS * spread) * bins
             j = j[ok]
             if best and len(j):
                 j = j[[(hits[ok] / bins[ok]).argmax()]]
