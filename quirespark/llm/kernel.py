@@ -24,9 +24,8 @@ def separators(punctuation: bool = False) -> np.ndarray:
     return t
 
 
-_LOWER = np.arange(256, dtype=np.uint64)
+_LOWER = np.arange(1, 257, dtype=np.uint64)
 _LOWER[65:91] += 32
-_LOWER += np.uint64(1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import let, words
 
 #: Classes of characters in words: lower-case letters, other letters, digits, sentence punctuation, other ASCII marks, the rest.
 CLASS_PATTERNS = (r"\p{Ll}+", r"[\p{L}&&[^\p{Ll}]]+", r"\p{Nd}+", r"[.,;:!?'\"()\-]+", r"[\p{Punct}&&[^.,;:!?'\"()\-]]+")
@@ -36,11 +36,6 @@ REFERENCES = {
 }
 
 
-def _let(value: Column, body) -> Column:
-    """body(value), with value computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _repeat_words(ws: Column, n: Column) -> Column:
     """Words that lie in a 3-word window found twice or more in the text.
 
@@ -60,8 +55,8 @@ def _repeat_words(ws: Column, n: Column) -> Column:
 
         return F.filter(s, lambda x, i: same(x, F.get(s, i - 1)) | same(x, F.get(s, i + 1)))
 
-    at = _let(F.sort_array(F.slice(hashed, F.lit(1), F.greatest(n - 2, F.lit(0)))), lambda s: F.sort_array(F.transform(repeated(s), lambda x: x.bitwiseAND(low))))
-    return _let(at, lambda p: F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get(p, i + 1) - x, F.lit(3).cast("long")))), F.lit(0).cast("long"), lambda a, b: a + b))
+    at = let(F.sort_array(F.slice(hashed, F.lit(1), F.greatest(n - 2, F.lit(0)))), lambda s: F.sort_array(F.transform(repeated(s), lambda x: x.bitwiseAND(low))))
+    return let(at, lambda p: F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get(p, i + 1) - x, F.lit(3).cast("long")))), F.lit(0).cast("long"), lambda a, b: a + b))
 
 
 def _distance(p: Column, q: Column) -> Column:
@@ -92,13 +87,24 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     against the nearest reference. A distance is null where its guard abstains. Equal texts of one language get equal
     verdicts. Other columns are ignored, whatever their names; an empty table gives an empty result.
     """
-    references = references or REFERENCES
+    return _judged(docs, id_col, text_col, lang_col, references or REFERENCES, min_words, min_chars, class_limit, word_limit, False)
+
+
+def keep_good(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", references: dict | None = None, min_words: int = 50, min_chars: int = 150, class_limit: float = 0.22, word_limit: float = 0.60) -> DataFrame:
+    """The rows of docs that quality_rules keeps, unchanged, in the same pass."""
+    judged = _judged(docs, id_col, text_col, lang_col, references or REFERENCES, min_words, min_chars, class_limit, word_limit, True)
+    # a filter would be pushed down with the whole expression copied into it; a generator is not
+    return judged.select(F.inline(F.when(F.col("kept"), F.array("row_"))))
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, lang_col: str | None, references: dict, min_words: int, min_chars: int, class_limit: float, word_limit: float, carry: bool) -> DataFrame:
     lang = F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
-    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), lang.alias("lang"))
+    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), lang.alias("lang"), *([F.struct("*").alias("row_")] if carry else []))
+    row = ["row_"] if carry else []
     d = d.withColumn("ws", words(F.col("text")))
     squeezed = F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    d = d.select("doc_id", "lang", "ws", F.size("ws").alias("n"), squeezed.alias("chars"), lines.alias("lines"))
+    d = d.select(*row, "doc_id", "lang", "ws", F.size("ws").alias("n"), squeezed.alias("chars"), lines.alias("lines"))
 
     common = sorted({w for _, table in references.values() for w in table})
     codes = "".join(chr(0x21 + i) for i in range(len(common) + 1))  # the first stands for any other word
@@ -115,7 +121,7 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     names = ["chars", *[f"left{i}" for i in range(len(CLASS_PATTERNS))]]
     counts = [F.length(a) - F.length(b) for a, b in zip(names, names[1:], strict=False)] + [F.length(names[-1])]
     d = step.select(
-        "doc_id", "lang", "n",
+        *row, "doc_id", "lang", "n",
         F.length("chars").cast("long").alias("word_chars"),
         (F.length("chars") - F.length(F.regexp_replace("chars", r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
@@ -128,8 +134,8 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     d = d.withColumn("hits", F.concat(hits, F.array(F.col("n") - F.length("coded"))))
     word_refs = {}
     for k, (_, table) in references.items():
-        row = [table.get(w, 0) / 1000 for w in common]
-        word_refs[k] = [*row, 1 - sum(row)]
+        known = [table.get(w, 0) / 1000 for w in common]
+        word_refs[k] = [*known, 1 - sum(known)]
     class_refs = {k: list(shares) for k, (shares, _) in references.items()}
     d = d.withColumns({
         "class_distance": F.when(F.col("word_chars") >= min_chars, _nearest(F.transform("classes", lambda x: x / total), F.col("lang"), class_refs)),
@@ -138,11 +144,5 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     })
     d = d.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     near = (F.coalesce("class_distance", F.lit(0.0)) <= class_limit) & (F.coalesce("word_distance", F.lit(0.0)) <= word_limit)
-    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & near).alias("kept"), "class_distance", "word_distance")
-
+    return d.select(*row, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & near).alias("kept"), "class_distance", "word_distance")
 
-def keep_good(docs: DataFrame, **parameters) -> DataFrame:
-    """The documents that quality_rules keeps, unchanged. Verdicts are joined by doc_id; rows with a null doc_id are dropped."""
-    id_col = parameters.get("id_col", "doc_id")
-    good = quality_rules(docs, **parameters).where("kept").select(F.col("doc_id").alias("good__")).distinct()
-    return docs.join(good, F.col(id_col) == F.col("good__"), "left_semi")
