@@ -12,6 +12,7 @@ so that any block or document can be decoded alone.
 
 from __future__ import annotations
 
+import os
 import posixpath
 import re
 import zlib
@@ -214,12 +215,13 @@ class TextEncoder:
     characters in a row, are only cut where both neighbours of a space are not white.
     """
 
-    LIMIT = 400_000
+    LIMIT, AT_ONCE = 200_000, 4096
     _odd = np.zeros(256, bool)
     _odd[[0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True  # bytes that other white space has
     _safe = re.compile(r"(?<=\S) (?=\S)")
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -233,8 +235,10 @@ class TextEncoder:
         return text.replace("\n", " \n").split(" ")
 
     def _learn(self, table: dict[str, bytes], new: list[str], whole: list[str]) -> None:
-        for key, e in zip(new, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False), strict=True):
-            table[key] = np.array(e.ids, "<u4").tobytes()
+        for at in range(0, len(new), self.AT_ONCE):
+            part = slice(at, at + self.AT_ONCE)
+            for key, e in zip(new[part], self.tokenizer.encode_batch_fast(whole[part], add_special_tokens=False), strict=True):
+                table[key] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str], odd: np.ndarray) -> list[np.ndarray]:
         if len(self.known) > self.LIMIT:
@@ -285,7 +289,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, *, id_col: s
             odd = _odd_texts(column)
             at = 0
             while at < len(column):
-                stop = min(at + 256, len(column))
+                stop = min(at + 64, len(column))
                 texts = [x or "" for x in column.slice(at, stop - at).to_pylist()]
                 for doc_id, ids in zip(batch.column(0).slice(at, stop - at).to_pylist(), encoder.encode(texts, odd[at:stop]), strict=True):
                     writer = writer or Writer(folder, name, str(task.taskAttemptId()))
