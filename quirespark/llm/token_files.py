@@ -215,7 +215,7 @@ class TextEncoder:
     characters in a row, are only cut where both neighbours of a space are not white.
     """
 
-    LIMIT, AT_ONCE = 200_000, 4096
+    LIMIT, AT_ONCE = 400_000, 2048
     _odd = np.zeros(256, bool)
     _odd[[0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True  # bytes that other white space has
     _safe = re.compile(r"(?<=\S) (?=\S)")
@@ -226,6 +226,7 @@ class TextEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        (self.feed,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.known: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
 
@@ -235,29 +236,49 @@ class TextEncoder:
         return text.replace("\n", " \n").split(" ")
 
     def _learn(self, table: dict[str, bytes], new: list[str], whole: list[str]) -> None:
-        for at in range(0, len(new), self.AT_ONCE):
-            part = slice(at, at + self.AT_ONCE)
-            for key, e in zip(new[part], self.tokenizer.encode_batch_fast(whole[part], add_special_tokens=False), strict=True):
-                table[key] = np.array(e.ids, "<u4").tobytes()
+        """Ids of many pieces in one call: a line feed between two pieces is a token of its own, and no piece has one inside."""
+        feed = np.array([self.feed], "<u4").tobytes()
+        rest = []
+        for i, x in enumerate(whole):
+            body = x[1:] if x[:1] == "\n" else x
+            bare = body[1:] if body[:1] == " " else body
+            if not bare or bare[0].isspace() or bare[-1].isspace() or "\n" in bare:
+                table[new[i]] = np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+            else:
+                rest.append((new[i], body, feed if body is not x else b""))
+        for at in range(0, len(rest), self.AT_ONCE):
+            part = rest[at : at + self.AT_ONCE]
+            ids = np.array(self.tokenizer.encode("\n".join([x for _, x, _ in part]), add_special_tokens=False).ids, "<u4")
+            cut = np.flatnonzero(ids == self.feed)
+            data, lo = ids.tobytes(), 0
+            for (key, _, before), hi in zip(part, [*(cut * 4).tolist(), len(data)], strict=True):
+                table[key] = before + data[lo:hi]
+                lo = hi + 4
 
     def encode(self, texts: list[str], odd: np.ndarray) -> list[np.ndarray]:
         if len(self.known) > self.LIMIT:
             self.known.clear()
-        if len(self.first) > self.LIMIT:
+        if len(self.first) > self.LIMIT // 4:
             self.first.clear()
         docs = [self._pieces(t, o) if t else [] for t, o in zip(texts, odd, strict=True)]
-        firsts = {d[0] for d in docs if d}
-        wanted: set[str] = set()
         heads = [d.pop(0) if d else None for d in docs]
-        for d in docs:
-            wanted.update(d)
-        if new := [x for x in firsts if x not in self.first]:
+        if new := list({h for h in heads if h is not None}.difference(self.first)):
             self._learn(self.first, new, new)
-        if new := [x for x in wanted if x not in self.known]:
+        if new := list(set().union(*docs).difference(self.known)):
             self._learn(self.known, new, [x if x[0] == "\n" else " " + x for x in new])
         return [np.frombuffer(b"".join([self.first[h], *map(self.known.__getitem__, d)]), "<u4") if h is not None else np.zeros(0, "<u4") for h, d in zip(heads, docs, strict=True)]
 
 
+_encoders: dict[str, TextEncoder] = {}
+
+
+def encoder(path: str) -> TextEncoder:
+    """The worker's encoder of a tokenizer file; its memory serves all the worker's tasks."""
+    if path not in _encoders:
+        _encoders[path] = TextEncoder(path)
+    return _encoders[path]
+
+
 def _odd_texts(column: pa.Array) -> np.ndarray:
     """Which texts may hold white space other than space and line feed."""
     data, offsets = text_buffer(column)
@@ -281,7 +302,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, *, id_col: s
     ws = Workspace(docs.sparkSession, "token_files")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, writer, encoder = TaskContext.get(), None, TextEncoder(tokenizer)
+        task, writer, encode = TaskContext.get(), None, encoder(tokenizer).encode
         name = f"part-{task.partitionId():06d}.s8b"
         end = np.array([end_id], "<u4")
         for batch in batches:
@@ -291,7 +312,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, *, id_col: s
             while at < len(column):
                 stop = min(at + 64, len(column))
                 texts = [x or "" for x in column.slice(at, stop - at).to_pylist()]
-                for doc_id, ids in zip(batch.column(0).slice(at, stop - at).to_pylist(), encoder.encode(texts, odd[at:stop]), strict=True):
+                for doc_id, ids in zip(batch.column(0).slice(at, stop - at).to_pylist(), encode(texts, odd[at:stop]), strict=True):
                     writer = writer or Writer(folder, name, str(task.taskAttemptId()))
                     writer.add(doc_id, np.concatenate([ids, end]))
                 at = stop
