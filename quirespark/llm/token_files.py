@@ -36,6 +36,7 @@ COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 WIDTHS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 ESCAPE_LOW, ESCAPE_HIGH = 14, 15
 _LIMITS = np.array([(1 << w) - 1 for w in WIDTHS], np.uint64)
+_LEVELS = np.searchsorted(_LIMITS, np.arange(1 << 18, dtype=np.uint64)).astype(np.uint8)
 _NULL_ID = -(2**63)
 _U = np.uint64
 
@@ -50,7 +51,8 @@ def encode_blocks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     lengths[-1] = n - (blocks - 1) * BLOCK
     padded = np.zeros(blocks * BLOCK + 64, np.uint64)
     padded[:n] = ids
-    level = np.searchsorted(_LIMITS, padded[: blocks * BLOCK]).astype(np.uint8).reshape(blocks, BLOCK)
+    values = padded[: blocks * BLOCK]
+    level = (_LEVELS[values] if int(values.max()) < len(_LEVELS) else np.searchsorted(_LIMITS, values).astype(np.uint8)).reshape(blocks, BLOCK)
     level[-1, lengths[-1] :] = 0
     best = np.full((blocks, BLOCK), ESCAPE_LOW, np.uint8)
     window, covered = level, 1  # window[i]: highest level of the next `covered` ids
@@ -60,7 +62,7 @@ def encode_blocks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             shifted = np.zeros_like(window)
             shifted[:, :-step] = window[:, step:]
             window, covered = np.maximum(window, shifted), covered + step
-        best[window <= s] = s
+        best = np.where(window <= s, np.uint8(s), best)
     taken = np.array([*COUNTS, 1], np.int64)
     at, base = np.zeros(blocks, np.int64), np.arange(blocks) * BLOCK
     flat = best.ravel()
@@ -228,6 +230,7 @@ class TextEncoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         (self.feed,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # pieces used again move to the newer generation
         self.first: dict[str, bytes] = {}
 
     def _pieces(self, text: str, odd: bool) -> list[str]:
@@ -257,14 +260,20 @@ class TextEncoder:
 
     def encode(self, texts: list[str], odd: np.ndarray) -> list[np.ndarray]:
         if len(self.known) > self.LIMIT:
-            self.known.clear()
+            self.older, self.known = self.known, {}
         if len(self.first) > self.LIMIT // 4:
             self.first.clear()
         docs = [self._pieces(t, o) if t else [] for t, o in zip(texts, odd, strict=True)]
         heads = [d.pop(0) if d else None for d in docs]
         if new := list({h for h in heads if h is not None}.difference(self.first)):
             self._learn(self.first, new, new)
-        if new := list(set().union(*docs).difference(self.known)):
+        new = []
+        for x in set().union(*docs).difference(self.known):
+            if (old := self.older.get(x)) is not None:
+                self.known[x] = old
+            else:
+                new.append(x)
+        if new:
             self._learn(self.known, new, [x if x[0] == "\n" else " " + x for x in new])
         return [np.frombuffer(b"".join([self.first[h], *map(self.known.__getitem__, d)]), "<u4") if h is not None else np.zeros(0, "<u4") for h, d in zip(heads, docs, strict=True)]
 
