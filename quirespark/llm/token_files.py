@@ -16,6 +16,7 @@ import os
 import posixpath
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +38,9 @@ WIDTHS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 ESCAPE_LOW, ESCAPE_HIGH = 14, 15
 _LIMITS = np.array([(1 << w) - 1 for w in WIDTHS], np.uint64)
 _LEVELS = np.searchsorted(_LIMITS, np.arange(1 << 18, dtype=np.uint64)).astype(np.uint8)
+# byte-level files write a byte as its Latin-1 character where that is printable, and the others from code point 256 on
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_CHARACTERS = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
 _NULL_ID = -(2**63)
 _U = np.uint64
 
@@ -81,15 +85,16 @@ def encode_blocks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     escaped = sel == ESCAPE_LOW
     place = np.arange(len(sel)) + np.cumsum(escaped) - escaped
     words = np.zeros(len(sel) + int(escaped.sum()), np.uint64)
-    ends = padded.copy()  # ids past a block's end read as zero: they belong to the next block
     for s in range(len(COUNTS)):
         pick = np.flatnonzero(sel == s)
         if not len(pick):
             continue
         p, word = where[pick], np.full(len(pick), s << 60, np.uint64)
-        room = BLOCK - p % BLOCK
         for j in range(COUNTS[s]):
-            word |= np.where(room > j, ends[p + j], _U(0)) << _U(j * WIDTHS[s])
+            word |= padded[p + j] << _U(j * WIDTHS[s])
+        for i in np.flatnonzero(BLOCK - p % BLOCK < COUNTS[s]):  # what follows a block's end is not its own
+            room = BLOCK - int(p[i]) % BLOCK
+            word[i] = int(word[i]) & ((1 << (room * WIDTHS[s])) - 1) | s << 60
         words[place[pick]] = word
     if escaped.any():
         value, p = padded[where[escaped]], place[escaped]
@@ -111,13 +116,21 @@ def decode_blocks(words: np.ndarray, block_words: np.ndarray, lengths: np.ndarra
     count[stop - 1] -= over
     start = np.cumsum(count) - count
     out = np.zeros(int(lengths.sum()) + 64, np.uint64)
+    last = np.zeros(len(words), bool)
+    last[stop - 1] = True
     for s in range(len(COUNTS)):
-        pick = np.flatnonzero(sel == s)
-        mask = _LIMITS[s]
-        for j in range(COUNTS[s]):
-            if j:
-                pick = pick[count[pick] > j]
-            out[start[pick] + j] = (words[pick] >> _U(j * WIDTHS[s])) & mask
+        mine = sel == s
+        for pick, whole in ((np.flatnonzero(mine & ~last), True), (np.flatnonzero(mine & last), False)):
+            if not len(pick):
+                continue
+            at, packed = start[pick], words[pick]
+            for j in range(COUNTS[s]):
+                value = (packed >> _U(j * WIDTHS[s])) & _LIMITS[s]
+                if whole:
+                    out[at + j] = value
+                else:
+                    has = count[pick] > j
+                    out[at[has] + j] = value[has]
     low = np.flatnonzero(sel == ESCAPE_LOW)
     if len(low):
         out[start[low]] = (words[low] & _U(0xFFFFFFFF)) | ((words[low + 1] & _U(0xFFFFFFFF)) << _U(32))
@@ -151,7 +164,7 @@ class Writer:
         self.pending.append(ids)
         self.n_ids += len(ids)
         self.waiting += len(ids)
-        if self.waiting >= 256 * BLOCK:
+        if self.waiting >= 512 * BLOCK:
             self._flush(self.waiting // BLOCK * BLOCK)
 
     def _flush(self, n: int) -> None:
@@ -217,7 +230,7 @@ class TextEncoder:
     characters in a row, are only cut where both neighbours of a space are not white.
     """
 
-    LIMIT, AT_ONCE = 400_000, 2048
+    LIMIT, AT_ONCE = 300_000, 2048
     _odd = np.zeros(256, bool)
     _odd[[0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True  # bytes that other white space has
     _safe = re.compile(r"(?<=\S) (?=\S)")
@@ -229,6 +242,8 @@ class TextEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         (self.feed,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.model = self.tokenizer.model
+        self.marks = {c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in ".,;:!?"}
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}  # pieces used again move to the newer generation
         self.first: dict[str, bytes] = {}
@@ -238,17 +253,34 @@ class TextEncoder:
             return self._safe.split(text)
         return text.replace("\n", " \n").split(" ")
 
-    def _learn(self, table: dict[str, bytes], new: list[str], whole: list[str]) -> None:
-        """Ids of many pieces in one call: a line feed between two pieces is a token of its own, and no piece has one inside."""
-        feed = np.array([self.feed], "<u4").tobytes()
-        rest = []
-        for i, x in enumerate(whole):
-            body = x[1:] if x[:1] == "\n" else x
-            bare = body[1:] if body[:1] == " " else body
+    def _learn(self, table: dict[str, bytes], new: list[str], space: str) -> None:
+        """Ids of new pieces; a piece has a space before it unless `space` is empty or a line feed begins it.
+
+        Letters are one unit of the pre-tokenizer and a mark after them is another, so that such pieces go to the
+        tokenizer's model at once. Others are encoded many in one text: a line feed between two pieces is a token of its
+        own, and no piece has one inside.
+        """
+        tokenize, marks, feed, rest = self.model.tokenize, self.marks, np.array([self.feed], "<u4").tobytes(), []
+        for key in new:
+            line = key[:1] == "\n"
+            letters, tail = key[1:] if line else key, b""
+            if not letters.isalpha():
+                tail, letters = marks.get(letters[-1:]), letters[:-1]
+                if tail is None or not letters.isalpha():
+                    rest.append(key)
+                    continue
+            if not letters.isascii():
+                letters = letters.encode().decode("latin-1").translate(_BYTE_CHARACTERS)
+            ids = array("I", [k.id for k in tokenize("Ġ" + letters if space and not line else letters)]).tobytes()
+            table[key] = feed + ids + tail if line else ids + tail
+        odd, rest = rest, []
+        for key in odd:
+            before, body = (feed, key[1:]) if key[:1] == "\n" else (b"", space + key)
+            bare = body[len(space) :] if not before else body
             if not bare or bare[0].isspace() or bare[-1].isspace() or "\n" in bare:
-                table[new[i]] = np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+                table[key] = np.array(self.tokenizer.encode(key if before else body, add_special_tokens=False).ids, "<u4").tobytes()
             else:
-                rest.append((new[i], body, feed if body is not x else b""))
+                rest.append((key, body, before))
         for at in range(0, len(rest), self.AT_ONCE):
             part = rest[at : at + self.AT_ONCE]
             ids = np.array(self.tokenizer.encode("\n".join([x for _, x, _ in part]), add_special_tokens=False).ids, "<u4")
@@ -266,7 +298,7 @@ class TextEncoder:
         docs = [self._pieces(t, o) if t else [] for t, o in zip(texts, odd, strict=True)]
         heads = [d.pop(0) if d else None for d in docs]
         if new := list({h for h in heads if h is not None}.difference(self.first)):
-            self._learn(self.first, new, new)
+            self._learn(self.first, new, "")
         new = []
         for x in set().union(*docs).difference(self.known):
             if (old := self.older.get(x)) is not None:
@@ -274,7 +306,7 @@ class TextEncoder:
             else:
                 new.append(x)
         if new:
-            self._learn(self.known, new, [x if x[0] == "\n" else " " + x for x in new])
+            self._learn(self.known, new, " ")
         return [np.frombuffer(b"".join([self.first[h], *map(self.known.__getitem__, d)]), "<u4") if h is not None else np.zeros(0, "<u4") for h, d in zip(heads, docs, strict=True)]
 
 
