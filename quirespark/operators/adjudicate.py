@@ -157,9 +157,10 @@ def judge(pairs: DataFrame, words: DataFrame, dictionary: DataFrame, *, floor: i
     rung = F.when(F.col("a") == F.col("b"), "fold").when(roman, "roman").when(lex.isNotNull(), "lexicon").when(dic.isNotNull(), "dictionary").otherwise("abstain")
     d = d.withColumn("rung", rung).withColumn("winner", F.when(rung == "fold", F.col("ours")).when(rung == "lexicon", lex).when(rung == "dictionary", dic))
     if vision is not None:
-        seen = vision.select("book_id", "page_index", F.lower("word").alias("v")).distinct()
+        seen = vision.select(F.col("book_id").alias("b_"), F.col("page_index").alias("p_"), T.fold_word(F.col("word")).alias("v_")).distinct()
         for side, name in (("a", "va"), ("b", "vb")):
-            d = d.join(seen.withColumnRenamed("v", f"{name}_"), (d["book_id"] == seen["book_id"]) & (d["page_index"] == seen["page_index"]) & (d[side] == F.col(f"{name}_")), "left").drop(seen["book_id"], seen["page_index"]).withColumn(name, F.col(f"{name}_").isNotNull()).drop(f"{name}_")
+            on = (F.col("book_id") == F.col("b_")) & (F.col("page_index") == F.col("p_")) & (F.col(side) == F.col("v_"))
+            d = d.join(seen, on, "left").withColumn(name, F.col("v_").isNotNull()).drop("b_", "p_", "v_")
         one = (F.col("rung") == "abstain") & (F.col("va") != F.col("vb"))
         d = d.withColumn("winner", F.when(one, F.when(F.col("va"), F.col("ours")).otherwise(F.col("theirs"))).otherwise(F.col("winner"))).withColumn("rung", F.when(one, "vision").otherwise(F.col("rung")))
     return d.select(*pairs.columns, "rung", "winner")

@@ -31,29 +31,27 @@ def folios_from_furniture(lines: DataFrame) -> DataFrame:
 def misreads(folios: DataFrame) -> DataFrame:
     """(book_id, page_index, number): folios that stand against neighbours which fit each other.
 
-    Compound numbers (1000 and more) are read apart from plain ones where a book has both: the rarer kind is misread. In
-    page order, a number is dropped if the last surviving number and the next one fit (0 < step <= 2 * pages + 2), it
-    does not lie between them, is equal to neither, and swapping it with the next would not put things right.
+    Where most numbers of a book are compound (1000 and more), only those are looked at. In page order, a number is dropped
+    if the last surviving number and the next one fit (0 < step <= 2 * pages + 2), it does not lie between them, is equal
+    to neither, and exchanging it with either would not put things right.
     """
 
     def fold(pdf):
         pdf = pdf.sort_values("page_index")
         rows = list(zip(pdf["page_index"], pdf["number"], strict=True))
         compound = [r for r in rows if r[1] >= 1000]
-        out = []
-        if compound and len(compound) < len(rows):
-            rare = compound if len(compound) * 2 <= len(rows) else [r for r in rows if r[1] < 1000]
-            out += rare
-            rows = [r for r in rows if r not in rare]
-        before = None
+        rows = compound if 2 * len(compound) > len(rows) else rows
+        out, before = [], None
         for k, (page, n) in enumerate(rows):
             after = rows[k + 1] if k + 1 < len(rows) else None
             if before and after:
-                step, span = after[1] - before[1], after[0] - before[0]
-                between = before[1] < n < after[1]
-                following = rows[k + 2][1] if k + 2 < len(rows) else None
-                swap = before[1] < after[1] < n and (following is None or n < following) and n - after[1] == 1
-                if 0 < step <= 2 * span + 2 and not between and not swap and n not in (before[1], after[1]):
+                low, high = before[1], after[1]
+                fit = 0 < high - low <= 2 * (after[0] - before[0]) + 2
+                two_back = rows[k - 2][1] if k >= 2 else float("-inf")
+                two_on = rows[k + 2][1] if k + 2 < len(rows) else float("inf")
+                in_place = low <= n <= high  # an equal neighbour is a duplicate, not a misread
+                swapped = two_back < n < low or high < n < two_on
+                if fit and not in_place and not swapped:
                     out.append((page, n))
                     continue
             before = (page, n)
