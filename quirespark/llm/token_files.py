@@ -12,6 +12,7 @@ so that any block or document can be decoded alone.
 
 from __future__ import annotations
 
+import gc
 import os
 import posixpath
 import re
@@ -59,14 +60,13 @@ def encode_blocks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     level = (_LEVELS[values] if int(values.max()) < len(_LEVELS) else np.searchsorted(_LIMITS, values).astype(np.uint8)).reshape(blocks, BLOCK)
     level[-1, lengths[-1] :] = 0
     best = np.full((blocks, BLOCK), ESCAPE_LOW, np.uint8)
-    window, covered = level, 1  # window[i]: highest level of the next `covered` ids
+    window, covered = level.copy(), 1  # window[i]: highest level of the next `covered` ids
     for s in range(len(COUNTS) - 1, -1, -1):
         while covered < COUNTS[s]:
             step = min(covered, COUNTS[s] - covered)
-            shifted = np.zeros_like(window)
-            shifted[:, :-step] = window[:, step:]
-            window, covered = np.maximum(window, shifted), covered + step
-        best = np.where(window <= s, np.uint8(s), best)
+            np.maximum(window[:, :-step], window[:, step:], out=window[:, :-step])
+            covered += step
+        np.copyto(best, np.uint8(s), where=window <= s)
     taken = np.array([*COUNTS, 1], np.int64)
     at, base = np.zeros(blocks, np.int64), np.arange(blocks) * BLOCK
     flat = best.ravel()
@@ -230,7 +230,7 @@ class TextEncoder:
     characters in a row, are only cut where both neighbours of a space are not white.
     """
 
-    LIMIT, AT_ONCE = 300_000, 2048
+    LIMIT = 700_000  # pieces of a generation; about 230 bytes each
     _odd = np.zeros(256, bool)
     _odd[[0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True  # bytes that other white space has
     _safe = re.compile(r"(?<=\S) (?=\S)")
@@ -241,73 +241,61 @@ class TextEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        (self.feed,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.model = self.tokenizer.model
-        self.marks = {c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in ".,;:!?"}
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}  # pieces used again move to the newer generation
-        self.first: dict[str, bytes] = {}
+        self.known, self.first = Pieces(self.tokenizer, " "), Pieces(self.tokenizer, "")
 
     def _pieces(self, text: str, odd: bool) -> list[str]:
         if odd or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[:1] in " \n" or text[-1:] in " \n":
             return self._safe.split(text)
         return text.replace("\n", " \n").split(" ")
 
-    def _learn(self, table: dict[str, bytes], new: list[str], space: str) -> None:
-        """Ids of new pieces; a piece has a space before it unless `space` is empty or a line feed begins it.
-
-        Letters are one unit of the pre-tokenizer and a mark after them is another, so that such pieces go to the
-        tokenizer's model at once. Others are encoded many in one text: a line feed between two pieces is a token of its
-        own, and no piece has one inside.
-        """
-        tokenize, marks, feed, rest = self.model.tokenize, self.marks, np.array([self.feed], "<u4").tobytes(), []
-        for key in new:
-            line = key[:1] == "\n"
-            letters, tail = key[1:] if line else key, b""
-            if not letters.isalpha():
-                tail, letters = marks.get(letters[-1:]), letters[:-1]
-                if tail is None or not letters.isalpha():
-                    rest.append(key)
-                    continue
-            if not letters.isascii():
-                letters = letters.encode().decode("latin-1").translate(_BYTE_CHARACTERS)
-            ids = array("I", [k.id for k in tokenize("Ġ" + letters if space and not line else letters)]).tobytes()
-            table[key] = feed + ids + tail if line else ids + tail
-        odd, rest = rest, []
-        for key in odd:
-            before, body = (feed, key[1:]) if key[:1] == "\n" else (b"", space + key)
-            bare = body[len(space) :] if not before else body
-            if not bare or bare[0].isspace() or bare[-1].isspace() or "\n" in bare:
-                table[key] = np.array(self.tokenizer.encode(key if before else body, add_special_tokens=False).ids, "<u4").tobytes()
-            else:
-                rest.append((key, body, before))
-        for at in range(0, len(rest), self.AT_ONCE):
-            part = rest[at : at + self.AT_ONCE]
-            ids = np.array(self.tokenizer.encode("\n".join([x for _, x, _ in part]), add_special_tokens=False).ids, "<u4")
-            cut = np.flatnonzero(ids == self.feed)
-            data, lo = ids.tobytes(), 0
-            for (key, _, before), hi in zip(part, [*(cut * 4).tolist(), len(data)], strict=True):
-                table[key] = before + data[lo:hi]
-                lo = hi + 4
-
     def encode(self, texts: list[str], odd: np.ndarray) -> list[np.ndarray]:
-        if len(self.known) > self.LIMIT:
-            self.older, self.known = self.known, {}
-        if len(self.first) > self.LIMIT // 4:
-            self.first.clear()
-        docs = [self._pieces(t, o) if t else [] for t, o in zip(texts, odd, strict=True)]
-        heads = [d.pop(0) if d else None for d in docs]
-        if new := list({h for h in heads if h is not None}.difference(self.first)):
-            self._learn(self.first, new, "")
-        new = []
-        for x in set().union(*docs).difference(self.known):
-            if (old := self.older.get(x)) is not None:
-                self.known[x] = old
-            else:
-                new.append(x)
-        if new:
-            self._learn(self.known, new, " ")
-        return [np.frombuffer(b"".join([self.first[h], *map(self.known.__getitem__, d)]), "<u4") if h is not None else np.zeros(0, "<u4") for h, d in zip(heads, docs, strict=True)]
+        self.known.age()
+        self.first.age()
+        return [np.frombuffer(self._ids(self._pieces(t, o)), "<u4") if t else np.zeros(0, "<u4") for t, o in zip(texts, odd, strict=True)]
+
+    def _ids(self, pieces: list[str]) -> bytes:
+        head = self.first[pieces[0]]
+        del pieces[0]
+        return b"".join([head, *map(self.known.__getitem__, pieces)])
+
+
+class Pieces(dict):
+    """Ids of pieces by text, learnt when first asked for. A piece has a space before it unless `space` is empty or a line feed
+    begins it. Two generations: pieces that are asked for again move to the newer one."""
+
+    def __init__(self, tokenizer, space: str):
+        super().__init__()
+        self.tokenizer, self.model, self.space, self.older = tokenizer, tokenizer.model, space, {}
+        ids = lambda x: array("I", tokenizer.encode(x, add_special_tokens=False).ids).tobytes()
+        self.feed, self.marks = ids("\n"), {c: ids(c) for c in ".,;:!?"}
+
+    def age(self) -> None:
+        if len(self) > TextEncoder.LIMIT:
+            self.older = dict(self)
+            self.clear()
+
+    def __missing__(self, key: str) -> bytes:
+        ids = self.older.get(key)
+        if ids is None:
+            ids = self._learn(key)
+        self[key] = ids
+        return ids
+
+    def _learn(self, key: str) -> bytes:
+        """Letters are one unit of the pre-tokenizer and a mark after them is another: such pieces go to the model at once."""
+        line = key[:1] == "\n"
+        letters, tail = key[1:] if line else key, b""
+        if not letters.isalpha():
+            tail, letters = self.marks.get(letters[-1:]), letters[:-1]
+            if tail is None or not letters.isalpha():
+                whole = key if line else self.space + key
+                return array("I", self.tokenizer.encode(whole, add_special_tokens=False).ids).tobytes()
+            if not line:
+                return self[letters] + tail
+        if not letters.isascii():
+            letters = letters.encode().decode("latin-1").translate(_BYTE_CHARACTERS)
+        ids = array("I", [k.id for k in self.model.tokenize("Ġ" + letters if self.space and not line else letters)]).tobytes()
+        return self.feed + ids + tail if line else ids + tail
 
 
 _encoders: dict[str, TextEncoder] = {}
@@ -317,6 +305,8 @@ def encoder(path: str) -> TextEncoder:
     """The worker's encoder of a tokenizer file; its memory serves all the worker's tasks."""
     if path not in _encoders:
         _encoders[path] = TextEncoder(path)
+        gc.freeze()  # the vocabulary and what is loaded so far need no more looking at
+        gc.set_threshold(50_000)
     return _encoders[path]
 
 
