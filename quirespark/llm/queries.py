@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .classifier import classify
 from .decontaminate import contamination
 from .line_dedup import repeated_units
 from .mixing import mix
 from .near_dedup import near_duplicates
+from .oracles import line_dedup_sql, quality_rules_sql
 from .quality_rules import quality_rules
 from .sharding import shard
 from .surrogates import pseudonymise
@@ -17,7 +19,7 @@ from .token_files import read_token_files, write_token_files
 from .common import Workspace
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict = {"op1_quality_rules": quality_rules_sql(), "op9_line_dedup": line_dedup_sql()}
 
 
 def query(f):
@@ -31,7 +33,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents"))
+    d = quality_rules(table(spark, sf_dir, "documents"))
+    return d.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
 @query
