@@ -45,18 +45,19 @@ def _repeat_words(ws: Column, n: Column) -> Column:
     low = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
     hashed = F.transform(ws, lambda w, i: F.call_function("shiftleft", F.xxhash64(w, F.get(ws, i + 1), F.get(ws, i + 2)), bits).bitwiseOR(i.cast("long")))
 
-    def repeated(s: Column) -> Column:
-        def same(x: Column, y: Column) -> Column:
-            p, q = x.bitwiseAND(low).cast("int"), y.bitwiseAND(low).cast("int")
-            equal = (x - x.bitwiseAND(low)) == (y - y.bitwiseAND(low))
-            for k in range(3):
-                equal = equal & (F.get(ws, p + k) == F.get(ws, q + k))
-            return F.coalesce(equal, F.lit(False))
-
-        return F.filter(s, lambda x, i: same(x, F.get(s, i - 1)) | same(x, F.get(s, i + 1)))
-
-    at = let(F.sort_array(F.slice(hashed, F.lit(1), F.greatest(n - 2, F.lit(0)))), lambda s: F.sort_array(F.transform(repeated(s), lambda x: x.bitwiseAND(low))))
-    return let(at, lambda p: F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get(p, i + 1) - x, F.lit(3).cast("long")))), F.lit(0).cast("long"), lambda a, b: a + b))
+    def position(x: Column) -> Column:
+        return x.bitwiseAND(low).cast("int")
+
+    def pair(x: Column, y: Column) -> Column:
+        """Positions of two neighbours that are the same window, else null."""
+        same = F.call_function("shiftright", x, bits) == F.call_function("shiftright", y, bits)
+        for k in range(3):
+            same = same & (F.get(ws, position(x) + k) == F.get(ws, position(y) + k))
+        return F.when(same, F.array(position(x), position(y)))
+
+    found = let(F.sort_array(F.slice(hashed, F.lit(1), F.greatest(n - 2, F.lit(0)))), lambda s: F.transform(s, lambda x, i: pair(x, F.get(s, i + 1))))
+    at = F.sort_array(F.flatten(F.filter(found, lambda p: p.isNotNull())))  # a place may stand here twice: it then adds nothing
+    return let(at, lambda p: F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - x, F.lit(3)))), F.lit(0).cast("long"), lambda a, b: a + b))
 
 
 def _distance(p: Column, q: Column) -> Column:
