@@ -112,7 +112,11 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, lang_col: str | None, r
     if len(common) > 90:
         raise ValueError("at most 90 common words in all languages together")
     listed = F.lit(common)
-    coded = F.array_join(F.transform("ws", lambda w: F.substring(F.lit(codes), (F.array_position(listed, F.lower(F.rtrim(w, F.lit(".,;:")))) + 1).cast("int"), F.lit(1))), "")
+    longest = max(map(len, common))
+    bare = lambda w: F.rtrim(w, F.lit(".,;:"))
+    place = lambda w: F.array_position(listed, F.lower(bare(w)))
+    # only words short enough are looked up; lower case never shortens one
+    coded = F.array_join(F.transform("ws", lambda w: F.when(F.length(bare(w)) <= longest, F.substring(F.lit(codes), (place(w) + 1).cast("int"), F.lit(1))).otherwise(F.lit(""))), "")
     # each class is removed in turn, so that every pass reads what the earlier ones left
     step = d
     left_name = "chars"
