@@ -1,8 +1,11 @@
 """Substring dedup by line or paragraph hashing.
 
-A text's units are its lines (or paragraphs, parted by blank lines). A unit is normalised to its words, A-Z lower-cased,
-and hashed to 128 bits. Of equal units in the whole corpus the one in the document with the smallest rank stays, and in
-that document the first; the others are removed. Units of fewer than min_words words are left alone.
+A text's units are its lines (or paragraphs, parted by blank lines). So that a passage is also found where it stands
+inside a longer line, the sentences of a unit are hashed as its parts: a sentence ends with a word that ends with a
+full stop, exclamation or question mark. Units and parts are normalised to their words, A-Z lower-cased, and hashed to
+128 bits. Of equal ones in the whole corpus that in the document with the smallest rank stays, and in that document
+the first; the others are removed. Units of fewer than min_words words and parts of fewer than min_part_words are left
+alone; the parts of a removed unit go with it.
 """
 
 from __future__ import annotations
@@ -32,60 +35,79 @@ def _unit_starts(buf: np.ndarray, w: Words, paragraphs: bool) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _units(batches: Iterator[pa.RecordBatch], min_words: int, paragraphs: bool) -> Iterator[pa.RecordBatch]:
+def _units(batches: Iterator[pa.RecordBatch], min_words: int, min_part_words: int, paragraphs: bool) -> Iterator[pa.RecordBatch]:
     sep = separators()
+    stops = np.zeros(256, bool)
+    stops[[ord(c) for c in ".!?"]] = True
     for batch in batches:
         data, offsets = text_buffer(batch.column(1))
         for w in iter_words(batch.column(1), sep):
             base = int(offsets[w.first])
             buf = data[base : base + int(w.text_starts[-1])]
-            at = _unit_starts(buf, w, paragraphs)
-            if not len(at):
+            lines = _unit_starts(buf, w, paragraphs)
+            if not len(lines):
                 continue
-            sizes = np.diff(np.concatenate([at, [len(w.hashes)]]))
-            inside = (np.arange(len(w.hashes)) - np.repeat(at, sizes) + 1).astype(np.uint64)
-            d1, d2 = (mix(np.add.reduceat(mix(w.hashes + inside * s), at) + sizes.astype(np.uint64) * s) for s in _SALTS)
-            doc = np.searchsorted(w.bounds, at, "right") - 1
+            n = len(w.hashes)
+            new = np.zeros(n, bool)
+            new[lines] = True
+            new[1:] |= stops[buf[w.ends[:-1] - 1]]
+            parts = np.flatnonzero(new)
+            line_of = np.searchsorted(lines, parts, "right") - 1
+            line_sizes, part_sizes = np.diff(np.concatenate([lines, [n]])), np.diff(np.concatenate([parts, [n]]))
+            inner = part_sizes < line_sizes[line_of]  # a line of one sentence is its own only part
+            doc_of_line = np.searchsorted(w.bounds, lines, "right") - 1
+            unit = np.arange(len(lines)) - np.searchsorted(doc_of_line, doc_of_line)
+            part_no = np.arange(len(parts)) - np.searchsorted(line_of, line_of)
+
+            def digests(at: np.ndarray, sizes: np.ndarray, w: Words = w) -> list[np.ndarray]:
+                inside = (np.arange(len(w.hashes)) - np.repeat(at, sizes) + 1).astype(np.uint64)
+                return [mix(np.add.reduceat(mix(w.hashes + inside * s), at) + sizes.astype(np.uint64) * s) for s in _SALTS]
+
+            of_lines, of_parts = digests(lines, line_sizes), digests(parts, part_sizes)
+            ok, ok_part = line_sizes >= min_words, inner & (part_sizes >= min_part_words)
+            both = lambda x, y: np.concatenate([x[ok], y[ok_part]])
+            d1, d2 = both(of_lines[0], of_parts[0]), both(of_lines[1], of_parts[1])
+            at, sizes, doc = both(lines, parts), both(line_sizes, part_sizes), both(doc_of_line, doc_of_line[line_of])
             chars = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
-            unit = np.arange(len(at)) - np.searchsorted(doc, doc)
-            ok = sizes >= min_words
-            begin, end = chars[w.starts[at]], chars[w.ends[at + sizes - 1]]
-            begin, end = begin - chars[w.text_starts[doc]], end - chars[w.text_starts[doc]]
-            # a unit that repeats in its own document is marked here, so that only one a document is compared globally
+            begin, end = (chars[x] - chars[w.text_starts[doc]] for x in (w.starts[at], w.ends[at + sizes - 1]))
+            # what repeats in its own document is marked here, so that only one a document is compared globally
             order = np.lexsort((at, d2, d1, doc))
             again = np.zeros(len(at), bool)
             o, p = order[1:], order[:-1]
             again[o] = (doc[o] == doc[p]) & (d1[o] == d1[p]) & (d2[o] == d2[p])
-            ids = batch.column(0).take(pa.array(w.first + doc[ok]))
-            columns = [ids, d1[ok].view(np.int64), d2[ok].view(np.int64), unit[ok], begin[ok], end[ok], sizes[ok], again[ok]]
-            names = ["doc_id", "d1", "d2", "unit", "start_char", "end_char", "n_words", "again"]
+            ids = batch.column(0).take(pa.array(w.first + doc))
+            columns = [ids, d1.view(np.int64), d2.view(np.int64), both(unit, unit[line_of]), both(np.full(len(lines), -1), part_no), begin, end, sizes, again]
+            names = ["doc_id", "d1", "d2", "unit", "part", "start_char", "end_char", "n_words", "again"]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names)
 
 
-def repeated_units(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5, paragraphs: bool = False) -> DataFrame:
-    """One row per unit to remove: doc_id, unit, start_char, end_char, n_words, first_doc_id.
+def repeated_units(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5, min_part_words: int = 8, paragraphs: bool = False) -> DataFrame:
+    """One row per unit or part to remove: doc_id, unit, part, start_char, end_char, n_words, first_doc_id.
 
-    start_char and end_char are code point offsets into the original text, from the first to the last word of the unit.
+    start_char and end_char are code point offsets into the original text, from the first to the last word.
     first_doc_id has the occurrence that stays: the smallest doc_id is the earliest rank. unit counts the units with
-    words of a text from 0. Null, empty and blank texts have no units; documents with a null doc_id are ignored. Rows that
+    words of a text from 0; part counts the sentences of a unit from 0, and is -1 for a whole unit. Null, empty and blank texts have no units; documents with a null doc_id are ignored. Rows that
     repeat a doc_id have the same rank, so that both keep their units. Other columns are ignored, whatever their names.
     """
     ws = Workspace(docs.sparkSession, "line_dedup")
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    schema = "doc_id long, d1 long, d2 long, unit long, start_char long, end_char long, n_words long, again boolean"
-    units = ws.write(slim.mapInArrow(lambda it: _units(it, min_words, paragraphs), schema), "units")
+    schema = "doc_id long, d1 long, d2 long, unit long, part long, start_char long, end_char long, n_words long, again boolean"
+    units = ws.write(slim.mapInArrow(lambda it: _units(it, min_words, min_part_words, paragraphs), schema), "units")
     # counts and minima are combined before the shuffle, so that a line of a third of all documents is no hot group
     seen = units.groupBy("d1", "d2").agg(F.min("doc_id").alias("first_doc_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     kept = ws.write(seen, "repeated")
-    return units.join(kept, ["d1", "d2"]).where("again or doc_id <> first_doc_id").select("doc_id", "unit", "start_char", "end_char", "n_words", "first_doc_id")
+    gone = ws.write(units.join(kept, ["d1", "d2"]).where("again or doc_id <> first_doc_id").select("doc_id", "unit", "part", "start_char", "end_char", "n_words", "first_doc_id"), "removed")
+    ws.drop(units, kept)
+    whole = gone.where("part < 0").select("doc_id", "unit").distinct()
+    return gone.where("part < 0").union(gone.where("part >= 0").join(whole, ["doc_id", "unit"], "left_anti").select(gone.columns))
 
 
-def drop_repeated_units(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5, paragraphs: bool = False) -> DataFrame:
+def drop_repeated_units(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5, min_part_words: int = 8, paragraphs: bool = False) -> DataFrame:
     """docs with the repeated units cut out of the text, and `removed_spans`: array of (start_char, end_char) in the original.
 
     A cut takes the line feeds after the unit with it. Documents without repeats are unchanged (empty array).
     """
-    gone = repeated_units(docs, id_col=id_col, text_col=text_col, min_words=min_words, paragraphs=paragraphs)
+    gone = repeated_units(docs, id_col=id_col, text_col=text_col, min_words=min_words, min_part_words=min_part_words, paragraphs=paragraphs)
     spans = gone.groupBy(F.col("doc_id").alias("gone__")).agg(F.array_sort(F.collect_set(F.struct("start_char", "end_char"))).alias("spans__"))
 
     @F.pandas_udf("string")

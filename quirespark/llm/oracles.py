@@ -47,9 +47,13 @@ def quality_rules_sql() -> str:
 
 def line_dedup_sql() -> str:
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    measured = rf"regexp_extract_all(translate(s, '{upper}', '{lower}'), '{_WORD}') AS ws, length(s) - length(regexp_replace(s, '^{_SEP}', '')) AS lead, length(regexp_replace(s, '{_SEP}$', '')) AS fin"
     return rf"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL), u AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS k, ls FROM l), x AS (SELECT doc_id, k, ls[k] AS s FROM u),
-    o AS (SELECT *, coalesce(sum(length(s) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM x),
-    w AS (SELECT doc_id, k, off, regexp_extract_all(translate(s, '{upper}', '{lower}'), '{_WORD}') AS ws, length(s) - length(regexp_replace(s, '^{_SEP}', '')) AS lead, length(regexp_replace(s, '{_SEP}$', '')) AS fin FROM o),
-    f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS unit, array_to_string(ws, ' ') AS key FROM w WHERE len(ws) > 0),
-    g AS (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY k) AS again FROM f WHERE len(ws) >= 5), m AS (SELECT key, min(doc_id) AS first_doc_id FROM g GROUP BY 1)
-    SELECT doc_id, unit, CAST(off + lead AS BIGINT) AS start_char, CAST(off + fin AS BIGINT) AS end_char, CAST(len(ws) AS BIGINT) AS n_words, first_doc_id FROM g JOIN m USING (key) WHERE again > 1 OR doc_id <> first_doc_id"""
+    o AS (SELECT *, coalesce(sum(length(s) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM x), w AS (SELECT doc_id, k, off, s, {measured} FROM o),
+    f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS unit FROM w WHERE len(ws) > 0),
+    p0 AS (SELECT doc_id, unit, off, len(ws) AS n, string_split(regexp_replace(s, '([.!?])({_SEP})', '\1' || chr(1) || '\2', 'g'), chr(1)) AS ps FROM f), p1 AS (SELECT doc_id, unit, off, n, unnest(range(1, len(ps) + 1)) AS j, ps FROM p0), p2 AS (SELECT doc_id, unit, off, n, j, ps[j] AS s FROM p1),
+    p3 AS (SELECT *, coalesce(sum(length(s)) OVER (PARTITION BY doc_id, unit ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS more FROM p2), p4 AS (SELECT doc_id, unit, j, n, off + more AS off, {measured} FROM p3),
+    q AS (SELECT doc_id, unit, -1 AS part, off, lead, fin, ws FROM f WHERE len(ws) >= 5 UNION ALL SELECT doc_id, unit, j - 1, off, lead, fin, ws FROM p4 WHERE len(ws) >= 8 AND len(ws) < n),
+    g AS (SELECT *, array_to_string(ws, ' ') AS key, row_number() OVER (PARTITION BY doc_id, array_to_string(ws, ' ') ORDER BY off + lead) AS again FROM q), m AS (SELECT key, min(doc_id) AS first_doc_id FROM g GROUP BY 1),
+    z AS (SELECT doc_id, unit, part, CAST(off + lead AS BIGINT) AS start_char, CAST(off + fin AS BIGINT) AS end_char, CAST(len(ws) AS BIGINT) AS n_words, first_doc_id FROM g JOIN m USING (key) WHERE again > 1 OR doc_id <> first_doc_id)
+    SELECT doc_id, unit, CAST(part AS BIGINT) AS part, start_char, end_char, n_words, first_doc_id FROM z WHERE part < 0 OR NOT EXISTS (SELECT 1 FROM z y WHERE y.doc_id = z.doc_id AND y.unit = z.unit AND y.part < 0)"""

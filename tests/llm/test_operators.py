@@ -431,21 +431,37 @@ def test_automaton_on_small_vocabularies(extra, ws):
 @pytest.mark.parametrize("paragraphs", [False, True])
 def test_repeated_units_equal_brute_force(spark, corpus, none, paragraphs):
     rows = {i: t for i, t in texts_of(corpus)}
+    rows[62], rows[63] = f"{prose(800, 20)} First alpha beta gamma delta epsilon zeta eta theta. {prose(801, 20)}", f"{prose(802, 20)}. First alpha beta gamma delta epsilon zeta eta theta. End"
     rows[60], rows[61] = prose(1) + "\n\n" + prose(2), prose(2) + "\n\n" + prose(1) + "\n" + prose(1)
     d = spark.createDataFrame([(i, t, 1) for i, t in rows.items()], "doc_id long, text string, unit int")
-    first, want = {}, set()
+    first, want, found = {}, set(), []
     for i in sorted(rows):
         t, at, unit, mine = rows[i] or "", 0, 0, set()
-        for part in re.split(r"(\n[^\S\n]*\n\s*)" if paragraphs else r"(\n)", t):
-            w = words(low(part))
-            if w:
-                a, b = at + re.search(SEP, part).start(), at + len(part) - len(re.search(r"[\x20\x09-\x0D]*$", part).group())
-                key = tuple(w)
-                if len(w) >= 5 and (key in mine or first.setdefault(key, i) != i):
-                    want.add((i, unit, a, b, len(w), first[key]))
-                mine.add(key)
-                unit += 1
-            at += len(part)
+        for line in re.split(r"(\n[^\S\n]*\n\s*)" if paragraphs else r"(\n)", t):
+            spots = [(at + m.start(), at + m.end(), m.group()) for m in re.finditer(SEP, line)]
+            at += len(line)
+            if not spots:
+                continue
+            sentences, current = [], []
+            for x in spots:
+                current.append(x)
+                if x[2][-1] in ".!?":
+                    sentences.append(current)
+                    current = []
+            sentences += [current] if current else []
+            some = [(-1, spots)] if len(spots) >= 5 else []
+            some += [(k, x) for k, x in enumerate(sentences) if 8 <= len(x) < len(spots)]
+            for part, x in some:
+                found.append((i, unit, part, x[0][0], x[-1][1], len(x), tuple(low(y[2]) for y in x)))
+                first.setdefault(found[-1][-1], i)
+            unit += 1
+    seen, gone = set(), []
+    for f in sorted(found, key=lambda f: (f[0], f[3], f[2])):
+        if (f[0], f[6]) in seen or first[f[6]] != f[0]:
+            gone.append(f)
+        seen.add((f[0], f[6]))
+    whole = {(f[0], f[1]) for f in gone if f[2] < 0}
+    want = {(*f[:6], first[f[6]]) for f in gone if f[2] < 0 or (f[0], f[1]) not in whole}
     got = {tuple(r) for r in line_dedup.repeated_units(d, paragraphs=paragraphs).collect()}
     assert got == want and (paragraphs or len(want) > 10)
     assert line_dedup.repeated_units(none).count() == 0
