@@ -33,12 +33,13 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self._n = 0
+        self._n, self.written = 0, set()
 
     def write(self, df: DataFrame, name: str = "t") -> DataFrame:
         self._n += 1
         path = f"{self.root}/{self._n:03d}_{name}"
         df.write.parquet(path)
+        self.written.add(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._workspace_path = path
         return out
@@ -47,9 +48,17 @@ class Workspace:
         self._n += 1
         return f"{self.root}/{self._n:03d}_{name}"
 
+    def keep_only(self, *tables: DataFrame) -> None:
+        """Deletes the other tables of this workspace."""
+        kept = {t._workspace_path for t in tables}
+        for path in self.written - kept:
+            delete(self.spark, path)
+        self.written = kept
+
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
             delete(self.spark, t._workspace_path)
+            self.written.discard(t._workspace_path)
 
 
 def delete(spark: SparkSession, path: str) -> None:

@@ -182,6 +182,8 @@ class Writer:
         footer = np.array([self.n_words, len(offsets) - 1, len(self.doc_ids), self.n_ids, MAGIC], "<u8")
         self.out.write(b"".join(x.tobytes() for x in [*tail, footer]))
         self.out.close()
+        if self.fs.get_file_info(self.final).type != pa.fs.FileType.NotFound:  # of an earlier run of this task
+            self.fs.delete_file(self.final)
         self.fs.move(self.temporary, self.final)
         return self.final
 
