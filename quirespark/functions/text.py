@@ -165,3 +165,8 @@ def names_page(title: Column, text: Column) -> Column:
     """Whether enough of a title's words (three letters or more) stand in the text: 60 % of them, at least one."""
     ws = F.filter(F.split(norm_title(title), " "), lambda w: F.length(w) > 2)
     return let(ws, lambda w: F.size(F.filter(w, lambda x: norm_title(text).contains(x))) >= F.greatest(F.lit(1), F.ceil(F.size(w) * 3 / 5)))
+
+
+def edit_within(a: Column, b: Column, most: int = 2) -> Column:
+    """Whether the Levenshtein distance is at most `most`; the search stops beyond it."""
+    return F.levenshtein(a, b, most) >= 0

@@ -391,3 +391,54 @@ def verify_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def verify_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = book_pages(spark, sf_dir)
     return verify.holes(source.withColumn("text", F.when(F.col("page_index") % 5 == 0, "").otherwise(F.col("text"))), source)
+
+
+_JUDGED = ORACLES["review_tiers"].rsplit("SELECT book_id, page_index, seq, ours", 1)[0].rstrip()
+
+
+@query(f"{_JUDGED} SELECT book_id, rung, count(*) AS n FROM wi GROUP BY 1, 2")
+def rung_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adjudicate.rung_histogram(adjudicate.judge(*turn_disputes(spark, sf_dir)))
+
+
+@query(
+    f"""{_JUDGED}, tr AS (SELECT DISTINCT CAST(conv_id % 5 AS VARCHAR) AS book_id, conv_id * 100 + turn - 1 AS page_index, unnest({_ASCII}) AS word FROM conversations),
+    tj AS (SELECT wi.*, a.word IS NOT NULL AS ta, b.word IS NOT NULL AS tb FROM wi LEFT JOIN tr a ON a.book_id = wi.book_id AND a.page_index = wi.page_index AND a.word = ours LEFT JOIN tr b ON b.book_id = wi.book_id AND b.page_index = wi.page_index AND b.word = theirs),
+    oc AS (SELECT rung, CASE WHEN winner IS NULL THEN CASE WHEN ta <> tb THEN 's' ELSE 't' END WHEN CASE WHEN winner = ours THEN ta AND NOT tb ELSE tb AND NOT ta END THEN 'r' WHEN CASE WHEN winner = ours THEN tb AND NOT ta ELSE ta AND NOT tb END THEN 'w' ELSE 'u' END AS o FROM tj)
+    SELECT 0 AS floor, rung, count(CASE WHEN o = 'r' THEN 1 END) AS "right", count(CASE WHEN o = 'w' THEN 1 END) AS wrong, count(CASE WHEN o = 'u' THEN 1 END) AS unjudgeable, count(CASE WHEN o = 's' THEN 1 END) AS settleable, count(CASE WHEN o = 't' THEN 1 END) AS truly_open FROM oc GROUP BY rung"""
+)
+def rung_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the next turn stands for the true page
+    ws = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    truth = table(spark, sf_dir, "conversations").select((F.col("conv_id") % 5).cast("string").alias("book_id"), (F.col("conv_id") * 100 + F.col("turn") - 1).alias("page_index"), F.explode(ws).alias("word"))
+    return adjudicate.calibrate({0: adjudicate.judge(*turn_disputes(spark, sf_dir))}, truth)
+
+
+@query(f"WITH {_DISPUTES} SELECT book_id, page_index, seq, ours, theirs FROM ds WHERE ours <> theirs AND length(theirs) > 3 AND levenshtein(ours, theirs) <= 2")
+def close_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs, _, _ = turn_disputes(spark, sf_dir)
+    return pairs.where((F.col("ours") != F.col("theirs")) & (F.length("theirs") > 3) & T.edit_within(F.col("ours"), F.col("theirs")))
+
+
+@query(
+    """WITH m AS (SELECT source AS book_id, doc_id AS page_index, (n_chars % 97) / 97 AS skin, (n_chars % 7 + 1) / 4 AS ratio FROM documents), q AS (SELECT book_id, median(skin) AS ms, median(ratio) AS mr FROM m GROUP BY 1)
+    SELECT book_id, page_index, 'hand' AS kind FROM m JOIN q USING (book_id) WHERE skin > greatest(0.06, ms + 0.05) UNION ALL SELECT book_id, page_index, 'uncropped' FROM m JOIN q USING (book_id) WHERE abs(ratio - mr) / mr > 0.35"""
+)
+def outlying_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return dedupe.outlying_pages(d.select(F.col("source").alias("book_id"), F.col("doc_id").alias("page_index"), (F.col("n_chars") % 97 / 97).alias("skin"), ((F.col("n_chars") % 7 + 1) / 4).alias("ratio")))
+
+
+@query()
+def best_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = frames(spark, sf_dir).withColumn("score", F.pmod(F.xxhash64("event_id"), F.lit(1000)) / 10).withColumn("detectable", F.col("event_id") % 5 != 0)
+    return segments.best_frames(f, 60.0)
+
+
+@query("SELECT l_partkey % 99 + 1 AS n, l_orderkey % 20 AS k, count(*) AS uses FROM lineitem WHERE l_linenumber > 1 GROUP BY 1, 2")
+def roman_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tens, units = ["", "X", "XX", "XXX", "XL", "L", "LX", "LXX", "LXXX", "XC"], ["", "I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX"]
+    n = F.col("l_partkey") % 99 + 1
+    roman = F.concat(F.get(F.lit(tens), F.floor(n / 10).cast("int")), F.get(F.lit(units), (n % 10).cast("int")))
+    d = table(spark, sf_dir, "lineitem").where("l_linenumber > 1").select(T.roman_to_int(roman).cast("long").alias("n"), (F.col("l_orderkey") % 20).alias("k"))
+    return d.groupBy("n", "k").agg(F.count(F.lit(1)).alias("uses"))
