@@ -54,8 +54,12 @@ def simple_words(text: Column) -> Column:
 
 
 def windows(ws: Column, k: int, glue: str = " ") -> Column:
-    """Joined runs of k words, with repeats; none if there are fewer words."""
-    return F.when(F.size(ws) >= k, F.transform(F.sequence(F.lit(1), F.size(ws) - (k - 1)), lambda i: F.array_join(F.slice(ws, i, F.lit(k)), glue))).otherwise(F.array().cast("array<string>"))
+    """Joined runs of k words, with repeats; none if there are fewer words.
+
+    Words are fetched one by one: slice() inside a lambda would copy the whole array for every window.
+    """
+    run = lambda i: F.concat_ws(glue, *[F.get(ws, i + j) for j in range(k)])
+    return F.when(F.size(ws) >= k, F.transform(F.sequence(F.lit(0), F.size(ws) - k), run)).otherwise(F.array().cast("array<string>"))
 
 
 def page_shingles(text: Column, k: int = 5) -> Column:

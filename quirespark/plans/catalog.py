@@ -31,7 +31,10 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    d = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    # a text table of few files would keep most cores idle; a large one has splits enough and is not moved
+    return d.repartition(cores) if name == "documents" and d.rdd.getNumPartitions() < cores else d
 
 
 def book_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
