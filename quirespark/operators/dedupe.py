@@ -20,8 +20,9 @@ def pair_scores(pages: DataFrame, *, window: int = WINDOW, k: int = SHINGLE_WORD
     shingle on very many pages meets only those near it, and a long book is spread over its buckets.
     """
     # shingles travel as 64-bit hashes; a page has them distinct, so that counts of matches are counts of shingles
+    # the generator keeps filters from copying the shingle expression
     hashed = F.transform(T.page_shingles(F.col("text"), k), lambda x: F.xxhash64(x))
-    s = pages.select("book_id", F.col("page_index").alias("i"), hashed.alias("s")).withColumn("n", F.size("s")).where(F.col("n") >= min_shingles)
+    s = pages.select("book_id", F.col("page_index").alias("i"), F.explode(F.array(hashed)).alias("s")).withColumn("n", F.size("s")).where(F.col("n") >= min_shingles)
     own = F.floor(F.col("i") / window)
     later = s.select("book_id", "i", F.col("n").alias("ni"), F.explode(F.array(own, own - 1)).alias("bucket"), "s").withColumn("shingle", F.explode("s")).drop("s")
     earlier = s.select("book_id", F.col("i").alias("j"), F.col("n").alias("nj"), own.alias("bucket"), F.explode("s").alias("shingle"))
