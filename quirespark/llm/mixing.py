@@ -3,11 +3,14 @@
 Every source has a target number of words. Whole passes over the source are taken first; what is left of the target is
 a budget smaller than the source. The source's documents are counted by exact length; each length gives its share of
 the budget, rounded down, and a bounded-knapsack dynamic programme over the few documents of each length still unused
-closes the gap. The documents of a length are then chosen by seeded order.
+closes the gap. Where it cannot, shares are given back for other documents until the nearest sum is found. The documents
+of a length are then chosen by seeded order.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +25,8 @@ def fit_budget(lengths: list[int], counts: list[int], budget: int, knapsack: int
     """How many documents of each length to take, so that their words come as near to budget as the method gets.
 
     lengths are distinct and positive, 0 <= budget <= sum(lengths * counts). Proportional shares first; then, longest
-    first, whole documents until less than `knapsack` words are missing; then the bounded knapsack, exact for the rest.
+    first, whole documents until less than `knapsack` words are missing, or only longer documents are left; then the
+    bounded knapsack, exact for the rest. Shares are not given back: see fit_exactly.
     """
     total = sum(x * c for x, c in zip(lengths, counts, strict=True))
     if total <= budget:
@@ -37,7 +41,7 @@ def fit_budget(lengths: list[int], counts: list[int], budget: int, knapsack: int
         if more > 0:
             take[i] += more
             rest -= more * lengths[i]
-    rest = min(rest, 4 * knapsack)
+    # no longer than the longest document and half a knapsack
     first = np.full(rest + 1, -1, np.int64)  # the bundle that first reached a sum; each bundle is used once at most
     first[0], bundles = 0, [(0, 0)]
     for i in reversed(order):
@@ -59,6 +63,54 @@ def fit_budget(lengths: list[int], counts: list[int], budget: int, knapsack: int
     return take
 
 
+def fit_exactly(lengths: list[int], counts: list[int], budget: int, knapsack: int = KNAPSACK) -> list[int]:
+    """How many documents of each length to take, so that their words are the largest sum that is not above budget.
+
+    Arguments as for fit_budget, whose result stays where it meets the budget. Else a knapsack over added and given-back
+    documents looks at sums within `room` of that result, and room doubles until the budget is met or no wider room can
+    matter: of a nearest choice with the fewest changes no part of the changes sums to zero, so that, put in an order that
+    keeps every sum within the longest length of the start, they are at most twice as many as that length has words.
+    """
+    take = fit_budget(lengths, counts, budget, knapsack)
+    unit = math.gcd(*lengths)
+    sizes = [x // unit for x in lengths]
+    taken = sum(x * t for x, t in zip(sizes, take, strict=True))
+    unused = sum(x * c for x, c in zip(sizes, counts, strict=True)) - taken
+    gap = min(budget // unit - taken, unused)
+    if gap <= 0:
+        return take
+    widest = min(max(sizes) * (max(sizes) + 1), taken, unused)
+    order = sorted(range(len(sizes)), key=lambda i: sizes[i])
+    room = min(max(knapsack, max(sizes)), widest)
+    while True:
+        down, up = min(room, taken), min(room + gap, unused)
+        goal = down + gap
+        first = np.full(down + up + 1, -1, np.int32)  # as in fit_budget, for the sums from -down to up
+        first[down], bundles = 0, [(0, 0)]
+        for i in order:
+            for sign, free in ((1, counts[i] - take[i]), (-1, take[i])):
+                left, bundle = min(free, (down + up) // sizes[i]), 1
+                while left > 0 and first[goal] < 0:
+                    b = min(bundle, left)
+                    w = b * sizes[i]
+                    low, high = first[:-w], first[w:]
+                    new = np.flatnonzero((low >= 0) & (high < 0)) + w if sign > 0 else np.flatnonzero((high >= 0) & (low < 0))
+                    first[new] = len(bundles)
+                    bundles.append((i, sign * b))
+                    left, bundle = left - b, bundle * 2
+            if first[goal] >= 0:
+                break
+        if first[goal] >= 0 or room >= widest:
+            break
+        room = min(2 * room, widest)
+    at = int(np.flatnonzero(first[: goal + 1] >= 0)[-1])
+    while at != down:
+        i, b = bundles[first[at]]
+        take[i] += b
+        at -= b * sizes[i]
+    return take
+
+
 def source_targets(sizes: DataFrame, ws: Workspace, *, weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0, share: float = 1.0) -> DataFrame:
     """(source, source_size) -> adds source_rank, weight and target.
 
@@ -123,7 +175,7 @@ def _decided(docs: DataFrame, text_col: str, source_col: str, id_col: str, weigh
         some = [i for i, x in enumerate(lengths) if x > 0]
         take = [0] * len(lengths)
         if some:
-            for i, t in zip(some, fit_budget([lengths[i] for i in some], [counts[i] for i in some], goal - passes * size), strict=True):
+            for i, t in zip(some, fit_exactly([lengths[i] for i in some], [counts[i] for i in some], goal - passes * size), strict=True):
                 take[i] = t
         return pdf.assign(passes=passes, take=take)[["source_", "size_", "n", "source_size", "target", "passes", "take"]]
 

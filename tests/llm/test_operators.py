@@ -328,6 +328,35 @@ def test_budget_fit_is_exact_where_the_knapsack_reaches(table, share, knapsack):
         assert total == max(r for r in reach if r <= budget)
 
 
+def test_budget_fit_gives_shares_back():
+    for table, budget in (({20000: 1, 100: 100}, 25000), ({300000: 1, 1000: 100}, 310000), ({600000: 2, 400000: 1, 7: 90000}, 1200007)):
+        take = mixing.fit_exactly(list(table), list(table.values()), budget)
+        assert sum(x * t for x, t in zip(table, take, strict=True)) == budget
+        assert all(0 <= t <= c for t, c in zip(take, table.values(), strict=True))
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.dictionaries(st.integers(1, 60), st.integers(1, 5), min_size=1, max_size=8), st.integers(1, 9), st.floats(0, 1), st.sampled_from([4, 16, 5000]))
+def test_budget_fit_is_the_nearest_sum(table, unit, share, knapsack):
+    table = {x * unit: c for x, c in table.items()}
+    budget = int(share * sum(x * c for x, c in table.items()))
+    take = mixing.fit_exactly(list(table), list(table.values()), budget, knapsack)
+    assert all(0 <= t <= c for t, c in zip(take, table.values(), strict=True))
+    reach = {0}
+    for x, c in table.items():
+        reach = {r + k * x for r in reach for k in range(c + 1)}
+    assert sum(x * t for x, t in zip(table, take, strict=True)) == max(r for r in reach if r <= budget)
+
+
+def test_mix_with_one_long_document(spark):
+    rows = [(0, "w " * 20000, "a"), *[(i, "w " * 100, "a") for i in range(1, 101)], (101, "w " * 45000, "b")]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    taken, target = collections.Counter(), {r.source: r.target for r in got}
+    for r in got:
+        taken[r.source] += r.taken
+    assert abs(taken["a"] - target["a"]) < 1e-6 and abs(target["a"] - 25000) < 1e-6
+
+
 def water(sizes):
     """Targets by direct resharing."""
     order = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + ([None] if None in sizes else [])
