@@ -24,16 +24,28 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one beside the warehouse where that is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    """The folder that driver and executors share: spark.checkpoint.dir. A local session without it has one in the warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
 
 
 class Workspace:
-    """Intermediate tables as Parquet in the shared folder; they cut lineage and survive lost executors."""
+    """Intermediate tables as Parquet in the shared folder; they cut lineage and survive lost executors.
+
+    Results read them lazily, so what is not dropped earlier stays until the session's JVM ends, which deletes the folder.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n, self.written = 0, set()
+        folder = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
 
     def write(self, df: DataFrame, name: str = "t") -> DataFrame:
         self._n += 1
@@ -66,6 +78,11 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def names(df: DataFrame, *wanted: str) -> list[str]:
+    """column_name for each of several distinct names."""
+    return [column_name(df, w) for w in wanted]
+
+
 def column_name(df: DataFrame, wanted: str) -> str:
     """`wanted`, or with underscores added until no column of df has that name (names are compared without case)."""
     taken = {c.lower() for c in df.columns}
@@ -87,10 +104,10 @@ def bucketed_rank(df: DataFrame, keys: list[str], order: list[Column], bucket: C
     offsets = counts.withColumn(before, F.coalesce(F.sum(n).over(w), F.lit(0))).drop(n)
     on = [*keys, b]
     inside = df.withColumn(name, F.row_number().over(Window.partitionBy(*on).orderBy(*order)) - 1)
-    right = offsets.select(*[F.col(c).alias(f"{c}__r") for c in on], before)
-    cond = [inside[c].eqNullSafe(right[f"{c}__r"]) for c in on]
-    joined = inside.join(right, cond)
-    return joined.withColumn(name, (F.col(name) + F.col(before)).cast("long")).drop(before, b, *[f"{c}__r" for c in on])
+    of_right = {c: column_name(df, f"{c}_r_") for c in on}
+    right = offsets.select(*[F.col(c).alias(r) for c, r in of_right.items()], before)
+    joined = inside.join(right, [inside[c].eqNullSafe(right[r]) for c, r in of_right.items()])
+    return joined.withColumn(name, (F.col(name) + F.col(before)).cast("long")).drop(before, b, *of_right.values())
 
 
 def components(ws: Workspace, edges: DataFrame) -> DataFrame:

@@ -2,9 +2,9 @@
 
 Every source has a target number of words. Whole passes over the source are taken first; what is left of the target is
 a budget smaller than the source. The source's documents are counted by exact length; each length gives its share of
-the budget, rounded down, and a bounded-knapsack dynamic programme over the few documents of each length still unused
-closes the gap. Where it cannot, shares are given back for other documents until the nearest sum is found. The documents
-of a length are then chosen by seeded order.
+the budget, rounded down, and what that leaves is filled with unused documents, the longest first. A bounded-knapsack
+dynamic programme over added and given-back documents then closes the gap. The documents of a length are chosen by
+seeded order.
 """
 
 from __future__ import annotations
@@ -17,98 +17,70 @@ from pyspark.sql import functions as F
 
 from .common import Workspace, bucketed_rank, words
 
-#: Words that the dynamic programme looks at beyond the rounded shares; the budget in whole words of the knapsack.
-KNAPSACK = 1 << 16
+#: Words on either side of the filled sum that the dynamic programme looks at first, and at most.
+KNAPSACK, WIDEST = 1 << 16, 1 << 24
+#: Table entries that the programme may visit for one source before it settles for the nearest sum seen.
+VISITS = 10**10
 
 
-def fit_budget(lengths: list[int], counts: list[int], budget: int, knapsack: int = KNAPSACK) -> list[int]:
-    """How many documents of each length to take, so that their words come as near to budget as the method gets.
+def fit_budget(lengths: list[int], counts: list[int], budget: int, knapsack: int = KNAPSACK, *, widest: int = WIDEST, visits: int = VISITS) -> list[int]:
+    """How many documents of each length to take, so that their words are the largest sum that is not above budget.
 
-    lengths are distinct and positive, 0 <= budget <= sum(lengths * counts). Proportional shares first; then, longest
-    first, whole documents until less than `knapsack` words are missing, or only longer documents are left; then the
-    bounded knapsack, exact for the rest. Shares are not given back: see fit_exactly.
+    lengths are distinct and positive, 0 <= budget. The fill alone ends less than the shortest unused document below the
+    budget. The knapsack looks at sums within `room` of it, and room doubles from `knapsack` until the budget is met or
+    no wider room can matter: of a nearest choice with the fewest changes no part of the changes sums to zero, so that,
+    put in an order that keeps every sum within the longest length of the start, they are at most twice as many as that
+    length has words. The result is the nearest sum, unless `widest` words or `visits` entries end the search before;
+    then it is the nearest seen, at least as near as the fill.
     """
-    total = sum(x * c for x, c in zip(lengths, counts, strict=True))
-    if total <= budget:
+    unit = math.gcd(*lengths) if lengths else 1
+    sizes = [x // unit for x in lengths]
+    goal, total = budget // unit, sum(x * c for x, c in zip(sizes, counts, strict=True))
+    if total <= goal:
         return list(counts)
-    take = [c * budget // total for c in counts]
-    rest = budget - sum(x * t for x, t in zip(lengths, take, strict=True))
-    order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
-    for i in order:
-        if rest < knapsack:
-            break
-        more = min(counts[i] - take[i], (rest - knapsack // 2) // lengths[i])
-        if more > 0:
-            take[i] += more
-            rest -= more * lengths[i]
-    # no longer than the longest document and half a knapsack
-    first = np.full(rest + 1, -1, np.int64)  # the bundle that first reached a sum; each bundle is used once at most
-    first[0], bundles = 0, [(0, 0)]
+    take = [c * goal // total for c in counts]
+    gap = goal - sum(x * t for x, t in zip(sizes, take, strict=True))
+    order = sorted(range(len(sizes)), key=lambda i: sizes[i])
     for i in reversed(order):
-        left, bundle = min(counts[i] - take[i], rest // lengths[i]), 1
-        while left > 0 and first[rest] < 0:
-            b = min(bundle, left)
-            w = b * lengths[i]
-            new = np.flatnonzero((first[:-w] >= 0) & (first[w:] < 0)) + w
-            first[new] = len(bundles)
-            bundles.append((i, b))
-            left, bundle = left - b, bundle * 2
-        if first[rest] >= 0:
+        more = min(counts[i] - take[i], gap // sizes[i])
+        take[i], gap = take[i] + more, gap - more * sizes[i]
+    room = knapsack
+    while gap:
+        taken = goal - gap
+        useful = min(max(sizes) * (max(sizes) + 1), taken, total - taken)
+        room = min(room, useful, widest)
+        changes, reached, visited = _nearest(sizes, counts, take, order, min(room, taken), min(room + gap, total - taken), gap, visits)
+        for i, b in changes:
+            take[i] += b
+        gap, visits = gap - reached, visits - visited
+        if room >= min(useful, widest) or visits <= 0:
             break
-    at = int(np.flatnonzero(first >= 0)[-1])
-    while at:
-        i, b = bundles[first[at]]
-        take[i] += b
-        at -= b * lengths[i]
+        room *= 2
     return take
 
 
-def fit_exactly(lengths: list[int], counts: list[int], budget: int, knapsack: int = KNAPSACK) -> list[int]:
-    """How many documents of each length to take, so that their words are the largest sum that is not above budget.
-
-    Arguments as for fit_budget, whose result stays where it meets the budget. Else a knapsack over added and given-back
-    documents looks at sums within `room` of that result, and room doubles until the budget is met or no wider room can
-    matter: of a nearest choice with the fewest changes no part of the changes sums to zero, so that, put in an order that
-    keeps every sum within the longest length of the start, they are at most twice as many as that length has words.
-    """
-    take = fit_budget(lengths, counts, budget, knapsack)
-    unit = math.gcd(*lengths)
-    sizes = [x // unit for x in lengths]
-    taken = sum(x * t for x, t in zip(sizes, take, strict=True))
-    unused = sum(x * c for x, c in zip(sizes, counts, strict=True)) - taken
-    gap = min(budget // unit - taken, unused)
-    if gap <= 0:
-        return take
-    widest = min(max(sizes) * (max(sizes) + 1), taken, unused)
-    order = sorted(range(len(sizes)), key=lambda i: sizes[i])
-    room = min(max(knapsack, max(sizes)), widest)
-    while True:
-        down, up = min(room, taken), min(room + gap, unused)
-        goal = down + gap
-        first = np.full(down + up + 1, -1, np.int32)  # as in fit_budget, for the sums from -down to up
-        first[down], bundles = 0, [(0, 0)]
-        for i in order:
-            for sign, free in ((1, counts[i] - take[i]), (-1, take[i])):
-                left, bundle = min(free, (down + up) // sizes[i]), 1
-                while left > 0 and first[goal] < 0:
-                    b = min(bundle, left)
-                    w = b * sizes[i]
-                    low, high = first[:-w], first[w:]
-                    new = np.flatnonzero((low >= 0) & (high < 0)) + w if sign > 0 else np.flatnonzero((high >= 0) & (low < 0))
-                    first[new] = len(bundles)
-                    bundles.append((i, sign * b))
-                    left, bundle = left - b, bundle * 2
-            if first[goal] >= 0:
-                break
-        if first[goal] >= 0 or room >= widest:
-            break
-        room = min(2 * room, widest)
+def _nearest(sizes: list[int], counts: list[int], take: list[int], order: list[int], down: int, up: int, gap: int, visits: int) -> tuple[list[tuple[int, int]], int, int]:
+    """The changes to `take` that come nearest to `gap` from below, with sums from -down to up; (changes, sum, entries visited)."""
+    first = np.full(down + up + 1, -1, np.int32)  # the bundle that first reached a sum; each is used once at most
+    first[down], bundles, visited = 0, [(0, 0)], 0
+    goal = down + gap
+    for i, sign in ((i, sign) for i in order for sign in (1, -1)):
+        left, bundle = min(counts[i] - take[i] if sign > 0 else take[i], (down + up) // sizes[i]), 1
+        while left > 0 and first[goal] < 0 and visited < visits:
+            b = min(bundle, left)
+            w = b * sizes[i]
+            low, high = first[:-w], first[w:]
+            new = np.flatnonzero((low >= 0) & (high < 0)) + w if sign > 0 else np.flatnonzero((high >= 0) & (low < 0))
+            first[new] = len(bundles)
+            bundles.append((i, sign * b))
+            left, bundle, visited = left - b, bundle * 2, visited + len(first)
     at = int(np.flatnonzero(first[: goal + 1] >= 0)[-1])
+    reached, changes = at - down, []
     while at != down:
         i, b = bundles[first[at]]
-        take[i] += b
+        changes.append((i, b))
         at -= b * sizes[i]
-    return take
+    return changes, reached, visited
 
 
 def source_targets(sizes: DataFrame, ws: Workspace, *, weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0, share: float = 1.0) -> DataFrame:
@@ -138,12 +110,12 @@ def source_targets(sizes: DataFrame, ws: Workspace, *, weights: tuple[float, ...
 def mix(docs: DataFrame, *, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0, seed: int = 17) -> DataFrame:
     """Adds size, source_size, target, taken to docs; taken is the words that the mix takes of a row, repeats counted.
 
-    A null or blank text has size 0 and taken 0. A null source is a source of its own, last in order. Rows that tie in
-    every column are interchangeable. The choice is decided by seed, doc_id and text, so that reruns agree whatever the
-    partitions. Clashing column names of docs (size, source_size, target, taken) are replaced. An empty table gives an
-    empty result.
+    A null or blank text has size 0 and taken 0. A null source is a source of its own, last in order. The choice is
+    decided by seed, doc_id and text, so that reruns agree whatever the partitions; of rows that repeat both, as many as
+    the fit asks for are taken, whichever they are. Clashing column names of docs (size, source_size, target, taken) are
+    replaced. An empty table gives an empty result.
     """
-    d, plan = _decided(docs, text_col, source_col, id_col, weights, most, seed)
+    d = _decided(docs, text_col, source_col, id_col, weights, most, seed)
     keep = [c for c in docs.columns if c.lower() not in ("size", "source_size", "target", "taken")]
     return d.select(*[F.col("row_")[c].alias(c) for c in keep], F.col("size_").alias("size"), "source_size", "target", (F.col("size_") * F.col("times_")).alias("taken"))
 
@@ -151,14 +123,14 @@ def mix(docs: DataFrame, *, text_col: str = "text", source_col: str = "source",
 def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
     """The mix itself: every row of docs as often as it is taken, with docs' columns. Rows without words are not taken."""
     defaults = {"text_col": "text", "source_col": "source", "id_col": "doc_id", "weights": (1, 2, 3), "most": 3.0, "seed": 17} | parameters
-    d = _decided(docs, *[defaults[k] for k in ("text_col", "source_col", "id_col", "weights", "most", "seed")])[0]
+    d = _decided(docs, *[defaults[k] for k in ("text_col", "source_col", "id_col", "weights", "most", "seed")])
     times = F.when(F.col("size_") > 0, F.col("times_")).otherwise(F.lit(0).cast("long"))
     d = d.where(times > 0).withColumn("copy_", F.explode(F.sequence(F.lit(1).cast("long"), times)))
     return d.select(*[F.col("row_")[c].alias(c) for c in docs.columns])
 
 
-def _decided(docs: DataFrame, text_col: str, source_col: str, id_col: str, weights: tuple[float, ...], most: float, seed: int) -> tuple[DataFrame, DataFrame]:
-    """Rows with size_, source_size, target and times_ (how often each is taken), and the plan by source and length."""
+def _decided(docs: DataFrame, text_col: str, source_col: str, id_col: str, weights: tuple[float, ...], most: float, seed: int) -> DataFrame:
+    """Rows as row_ with size_, source_size, target and times_ (how often each is taken)."""
     spark = docs.sparkSession
     ws = Workspace(spark, "mixing")
     text, source = F.col(text_col).cast("string"), F.col(source_col).cast("string")
@@ -175,7 +147,7 @@ def _decided(docs: DataFrame, text_col: str, source_col: str, id_col: str, weigh
         some = [i for i, x in enumerate(lengths) if x > 0]
         take = [0] * len(lengths)
         if some:
-            for i, t in zip(some, fit_exactly([lengths[i] for i in some], [counts[i] for i in some], goal - passes * size), strict=True):
+            for i, t in zip(some, fit_budget([lengths[i] for i in some], [counts[i] for i in some], goal - passes * size), strict=True):
                 take[i] = t
         return pdf.assign(passes=passes, take=take)[["source_", "size_", "n", "source_size", "target", "passes", "take"]]
 
@@ -185,7 +157,21 @@ def _decided(docs: DataFrame, text_col: str, source_col: str, id_col: str, weigh
     part = plan.where("take > 0 and take < n").select(F.col("source_").alias("s_"), F.col("size_").alias("z_"), "take")
     both = F.col("source_").eqNullSafe(F.col("s_")) & (F.col("size_") == F.col("z_"))
     ranked = bucketed_rank(slim.join(part, both).select("source_", "size_", "order_", "take"), ["source_", "size_"], [F.col("order_").asc()], F.shiftright("order_", 56), "rank_")
-    last = ranked.where(F.col("rank_") == F.col("take") - 1).select(F.col("source_").alias("s_"), F.col("size_").alias("z_"), F.col("order_").alias("last_"))
-    plan = ws.write(plan.join(last, both, "left").select(F.col("source_").alias("s_"), F.col("size_").alias("z_"), "source_size", "target", "passes", "n", "take", "last_"), "choice")
-    chosen = (F.col("take") >= F.col("n")) | (F.col("order_") <= F.coalesce("last_", F.lit(-(2**63)).cast("long"))) & (F.col("take") > 0)
-    return d.join(plan, both).withColumn("times_", F.col("passes") + F.when(chosen, 1).otherwise(0)), plan
+    # the last order that is taken, with the number of rows that have it (ties_) and of those that are taken (some_)
+    orders = ranked.groupBy("source_", "size_", "take", "order_").agg(F.min("rank_").alias("before_"), F.count(F.lit(1)).alias("ties_")).where("before_ < take and take <= before_ + ties_")
+    last = orders.select(F.col("source_").alias("s_"), F.col("size_").alias("z_"), F.col("order_").alias("last_"), "ties_", (F.col("take") - F.col("before_")).alias("some_"))
+    plan = ws.write(plan.join(last, both, "left").select(F.col("source_").alias("s_"), F.col("size_").alias("z_"), "source_size", "target", "passes", "n", "take", "last_", "ties_", "some_"), "choice")
+    d = d.join(plan, both)
+    split = (F.col("order_") == F.col("last_")) & (F.col("some_") < F.col("ties_"))
+    out = ["row_", "size_", "source_size", "target"]
+
+    def taken(chosen):
+        return [*out, (F.col("passes") + F.when(chosen, 1).otherwise(0)).alias("times_")]
+
+    whole = d.where(~F.coalesce(split, F.lit(False))).select(*taken((F.col("take") >= F.col("n")) | (F.col("order_") <= F.col("last_"))))
+    if plan.where("some_ < ties_").isEmpty():
+        return whole
+    # rows that repeat id and text and of which only some are taken: numbered by their places in a stored table
+    tied = ws.write(d.where(split).withColumn("at_", F.monotonically_increasing_id()), "tied")
+    numbered = bucketed_rank(tied.select("source_", "at_", *out, "passes", "some_"), ["source_", "size_"], [F.col("at_").asc()], F.shiftright("at_", 33), "rank_")
+    return whole.union(numbered.select(*taken(F.col("rank_") < F.col("some_"))))
