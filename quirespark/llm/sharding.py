@@ -1,32 +1,51 @@
 """Sharding by longest-processing-time scheduling: groups that must stay together go, by size, to the least-loaded shard.
 
-Equal texts are a group. A group of at least 1/(shards * FINE) of all bytes is scheduled by itself; there are at most
-shards * FINE of those. The others are bundled by digest into BUNDLES bundles. So the schedule has a bounded number of
-items at any corpus size, and it is made with a heap in the driver from sums alone.
+Equal texts are a group. Groups are counted by exact size. From the largest size down, the groups of a size go one by
+one to the least-loaded shard by a heap; where a size has many groups, those that certainly come before a level are
+dealt at once, with the same result. Groups inside a size are told apart by their rank by digest. So the driver handles
+one row for each distinct size: n bytes of text have at most the square root of 2n of those.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, bucketed_rank
 
-BUNDLES = 1 << 14
-FINE = 128
+#: Groups with more than 1/HOT of all rows, of which there are fewer than HOT, are joined by broadcast.
+HOT = 4096
 
 
-def longest_first(items: list[tuple], shards: int) -> dict:
-    """name -> shard for (name, size): the largest first, each to the shard with the least so far (ties: lower shard)."""
+def longest_first(runs: Iterable[tuple[int, int]], shards: int) -> Iterator[tuple[int, dict[int, int]]]:
+    """(size, number of groups for each shard that gets some) for (size, number of groups), given from the largest size down.
+
+    Every group goes to the shard with the least bytes so far, the lower one on ties.
+    """
     heap = [(0, s) for s in range(shards)]
-    out = {}
-    for name, size in sorted(items, key=lambda x: (-x[1], x[0])):
-        load, s = heapq.heappop(heap)
-        out[name] = s
-        heapq.heappush(heap, (load + size, s))
-    return out
+    for size, n in runs:
+        got: dict[int, int] = {}
+        if n > shards:
+            # a shard with load x takes its groups at loads x, x + size, ...; all those under a level come first
+            low, high = heap[0][0], max(heap)[0] + size * n
+            while low < high:
+                level = (low + high + 1) // 2
+                if sum(max(0, -((x - level) // size)) for x, _ in heap) <= n:
+                    low = level
+                else:
+                    high = level - 1
+            got = {s: k for x, s in heap if (k := max(0, -((x - low) // size)))}
+            heap = [(x + size * got.get(s, 0), s) for x, s in heap]
+            heapq.heapify(heap)
+        for _ in range(n - sum(got.values())):
+            x, s = heap[0]
+            got[s] = got.get(s, 0) + 1
+            heapq.heapreplace(heap, (x + size, s))
+        yield size, got
 
 
 def shard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shards: int = 16, carry: bool = False) -> DataFrame:
@@ -40,26 +59,27 @@ def shard(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sh
     spark = docs.sparkSession
     ws = Workspace(spark, "sharding")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    row = [F.struct("*").alias("row_")] if carry else []
-    digest = F.unhex(F.sha2(text, 256))
-    slim = ws.write(
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), digest.alias("digest")), "sizes"
-    )
-    groups = ws.write(slim.groupBy("digest").agg(F.sum("size").alias("bytes")), "groups")
-    total = groups.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-    large = groups.where(F.col("bytes") * shards * FINE >= F.lit(total)).select("digest", "bytes")  # at most shards * FINE rows
-    bundle = F.pmod(F.xxhash64("digest"), F.lit(BUNDLES)).cast("int")
-    small = groups.join(F.broadcast(large.select("digest")), "digest", "left_anti").groupBy(bundle.alias("bundle")).agg(F.sum("bytes").alias("bytes"))  # at most BUNDLES rows
-    items = [((0, bytes(r[0]).hex()), r[1]) for r in large.collect()] + [((1, r[0]), r[1]) for r in small.collect()]
-    placed = longest_first(items, shards)
-    of_large = spark.createDataFrame([(bytearray.fromhex(k), s) for (kind, k), s in placed.items() if kind == 0], "digest binary, large_shard int")
-    of_bundle = spark.createDataFrame([(k, s) for (kind, k), s in placed.items() if kind == 1], "bundle int, bundle_shard int")
-
-    def place(d: DataFrame) -> DataFrame:
-        d = d.withColumn("bundle", bundle).join(F.broadcast(of_large), "digest", "left").join(F.broadcast(of_bundle), "bundle", "left")
-        return d.withColumn("shard", F.coalesce("large_shard", "bundle_shard"))
-
-    source = slim if not carry else docs.select(*row, F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), digest.alias("digest"))
+    measures = [F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.sha2(text, 256)).alias("digest")]
+    slim = ws.write(docs.select(*measures), "sizes")
+    groups = ws.write(slim.groupBy("digest").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("copies")), "groups")
+    runs = groups.groupBy("bytes").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("bytes").desc()).toArrow()
+    sizes, until, at = [], [], []
+    for size, got in longest_first(zip(runs["bytes"].to_pylist(), runs["n"].to_pylist(), strict=True), shards):
+        n = 0
+        sizes.append(size)
+        at.append(sorted(got))
+        until.append([n := n + got[s] for s in at[-1]])
+    plan = pa.table([pa.array(sizes, pa.int64()), pa.array(at, pa.list_(pa.int32())), pa.array(until, pa.list_(pa.int64()))], ["bytes", "at", "until"])
+    plan = ws.write(spark.createDataFrame(plan, "bytes long, at array<int>, until array<long>"), "plan")
+    ranked = bucketed_rank(groups, ["bytes"], [F.col("digest").asc()], F.substring("digest", 1, 1), "rank")
+    # the first shard of the size whose last group is not before this one
+    shard_of = F.get("at", F.size(F.filter("until", lambda x: x <= F.col("rank"))))
+    placed = ws.write(ranked.join(plan, "bytes").select("digest", "copies", shard_of.alias("shard")), "placed")
+    rows = groups.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    is_hot = F.col("copies") * HOT > F.lit(rows)
+    hot, cold = placed.where(is_hot).select("digest", "shard"), placed.where(~is_hot).select("digest", "shard")
+    source = docs.select(F.struct("*").alias("row_"), *measures) if carry else slim
+    located = source.join(F.broadcast(hot), "digest").unionByName(source.join(F.broadcast(hot), "digest", "left_anti").join(cold, "digest"))
     order = F.xxhash64("doc_id", "digest")
-    ranked = bucketed_rank(place(source), ["shard"], [order.asc(), F.col("doc_id").asc()], F.shiftright(order, 52), "slot")
-    return ranked.select(*(["row_"] if carry else []), "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    out = bucketed_rank(located, ["shard"], [order.asc(), F.col("doc_id").asc()], F.shiftright(order, 52), "slot")
+    return out.select(*(["row_"] if carry else []), "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
