@@ -16,6 +16,7 @@ import gc
 import os
 import posixpath
 import re
+import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -145,13 +146,12 @@ def open_folder(uri: str) -> tuple[pa.fs.FileSystem, str]:
 
 
 class Writer:
-    """Writes one file; it appears under its name when closed."""
+    """Writes one file. Every attempt has a name of its own; the manifest tells which attempt's file counts."""
 
-    def __init__(self, folder: str, name: str, attempt: str):
+    def __init__(self, folder: str, name: str):
         self.fs, root = open_folder(folder)
         self.fs.create_dir(root, recursive=True)
-        self.final, self.temporary = posixpath.join(root, name), posixpath.join(root, f"_{name}.{attempt}")
-        self.out = self.fs.open_output_stream(self.temporary)
+        self.out = self.fs.open_output_stream(posixpath.join(root, name))
         self.pending: list[np.ndarray] = []
         self.waiting = self.n_ids = self.n_words = 0
         self.block_words: list[np.ndarray] = []
@@ -175,17 +175,13 @@ class Writer:
         self.n_words += len(words)
         self.pending, self.waiting = [ids[n:]], len(ids) - n
 
-    def close(self) -> str:
+    def close(self) -> None:
         self._flush(self.waiting)
         offsets = np.concatenate([[0], np.cumsum(np.concatenate(self.block_words))])
         tail = [offsets.astype("<u8"), np.array(self.doc_ids, "<i8"), np.array([*self.starts, self.n_ids], "<u8")]
         footer = np.array([self.n_words, len(offsets) - 1, len(self.doc_ids), self.n_ids, MAGIC], "<u8")
         self.out.write(b"".join(x.tobytes() for x in [*tail, footer]))
         self.out.close()
-        if self.fs.get_file_info(self.final).type != pa.fs.FileType.NotFound:  # of an earlier run of this task
-            self.fs.delete_file(self.final)
-        self.fs.move(self.temporary, self.final)
-        return self.final
 
 
 class Reader:
@@ -229,7 +225,8 @@ class TextEncoder:
 
     The byte-level pre-tokenizer never joins text across a space that stands between two non-spaces, so that such pieces
     can be encoded apart; each distinct piece is encoded by the library. Texts with other white space, or with two white
-    characters in a row, are only cut where both neighbours of a space are not white.
+    characters in a row, are only cut where both neighbours of a space are not white. A text that holds the string of an
+    added token (such as an end-of-text mark, which the library reads as that token) goes to the library whole.
     """
 
     LIMIT = 700_000  # pieces of a generation; about 230 bytes each
@@ -242,7 +239,7 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known, self.first = Pieces(self.tokenizer, " "), Pieces(self.tokenizer, "")
 
     def _pieces(self, text: str, odd: bool) -> list[str]:
@@ -253,7 +250,14 @@ class TextEncoder:
     def encode(self, texts: list[str], odd: np.ndarray) -> list[np.ndarray]:
         self.known.age()
         self.first.age()
-        return [np.frombuffer(self._ids(self._pieces(t, o)), "<u4") if t else np.zeros(0, "<u4") for t, o in zip(texts, odd, strict=True)]
+        return [self._whole(t, o) for t, o in zip(texts, odd, strict=True)]
+
+    def _whole(self, text: str, odd: bool) -> np.ndarray:
+        if not text:
+            return np.zeros(0, "<u4")
+        if any(t in text for t in self.added):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.frombuffer(self._ids(self._pieces(text, odd)), "<u4")
 
     def _ids(self, pieces: list[str]) -> bytes:
         head = self.first[pieces[0]]
@@ -329,14 +333,14 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, *, id_col: s
 
     Returns the manifest: file_no, file, n_docs, n_ids. Files are ranges of doc_id; a null doc_id comes first, rows that
     repeat one stand side by side, a null or empty text is end_id alone. Other columns are ignored, whatever their names.
-    A task writes beside the final name and moves the file there, so that tasks can be run again. An empty table writes
-    no file. The manifest is stored, hence the files are written once.
+    Every attempt of a task writes a file of its own, and the stored manifest names those of the attempts that counted;
+    files of lost or repeated attempts are deleted. An empty table writes no file. The job runs when this is called.
     """
     ws = Workspace(docs.sparkSession, "token_files")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, writer, encode = TaskContext.get(), None, encoder(tokenizer).encode
-        name = f"part-{task.partitionId():06d}.s8b"
+        name = f"part-{task.partitionId():06d}-{uuid.uuid4().hex}.s8b"
         end = np.array([end_id], "<u4")
         for batch in batches:
             column = batch.column(1)
@@ -346,7 +350,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, *, id_col: s
                 stop = min(at + 64, len(column))
                 texts = [x or "" for x in column.slice(at, stop - at).to_pylist()]
                 for doc_id, ids in zip(batch.column(0).slice(at, stop - at).to_pylist(), encode(texts, odd[at:stop]), strict=True):
-                    writer = writer or Writer(folder, name, str(task.taskAttemptId()))
+                    writer = writer or Writer(folder, name)
                     writer.add(doc_id, np.concatenate([ids, end]))
                 at = stop
         if writer:
@@ -355,7 +359,17 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, *, id_col: s
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ordered = slim.repartitionByRange(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    return ws.write(ordered.mapInArrow(write, "file_no long, file string, n_docs long, n_ids long"), "manifest")
+    manifest = ws.write(ordered.mapInArrow(write, "file_no long, file string, n_docs long, n_ids long"), "manifest")
+    _sweep(folder, {r.file for r in manifest.select("file").collect()})  # one row for each file
+    return manifest
+
+
+def _sweep(folder: str, files: set[str]) -> None:
+    """Deletes the token files in the folder that are not among `files`."""
+    fs, root = open_folder(folder)
+    for f in fs.get_file_info(pa.fs.FileSelector(root, allow_not_found=True)):
+        if f.base_name.startswith("part-") and f.base_name.endswith(".s8b") and f.base_name not in files:
+            fs.delete_file(f.path)
 
 
 def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
