@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .kernel import iter_words, separators, text_buffer
 
 _loaded: dict[str, Automaton] = {}
+#: A word of more than LONG bytes is stepped as segments of this length side by side.
+LONG, SEGMENT = 1 << 15, 1 << 12
 
 
 class Automaton:
@@ -56,16 +58,19 @@ class Automaton:
             failure[v], popped[v] = children[z][byte[v]], n
         nodes = len(children)
         self.to = np.zeros((nodes, 256), np.int32)
-        self.pops = np.zeros((nodes, 256), np.uint8)
         self.rest = np.zeros(nodes, np.int64)  # pieces of a node's whole string
         failure, popped, depth = np.array(failure), np.array(popped), np.array(depth)
         for b, v in children[0].items():
             self.to[0, b] = v
         by_depth = np.argsort(depth, kind="stable")
-        for level in np.split(by_depth, np.flatnonzero(np.diff(depth[by_depth])) + 1)[1:]:
-            self.to[level] = self.to[failure[level]]
-            self.pops[level] = self.pops[failure[level]] + popped[level, None]
+        levels = np.split(by_depth, np.flatnonzero(np.diff(depth[by_depth])) + 1)[1:]
+        for level in levels:
             self.rest[level] = popped[level] + self.rest[failure[level]]
+        # a step pops no more pieces than its node's string has
+        self.pops = np.zeros((nodes, 256), np.min_scalar_type(int(self.rest.max())))
+        for level in levels:
+            self.to[level] = self.to[failure[level]]
+            self.pops[level] = self.pops[failure[level]] + popped[level, None].astype(self.pops.dtype)
             for v in level:
                 for b, child in children[v].items():
                     self.to[v, b], self.pops[v, b] = child, 0
@@ -76,11 +81,23 @@ class Automaton:
 
     def count(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Pieces of each word buf[start:end], the marker standing before it."""
+        out = np.empty(len(starts), np.int64)
+        long = ends - starts > LONG
+        for i in np.flatnonzero(long):
+            out[i] = self._long(buf, int(starts[i]), int(ends[i]))
+        short = np.flatnonzero(~long)
+        state, n = self._step(buf, starts[short], ends[short], np.full(len(short), self.start))
+        out[short] = self.before + n + self.rest[state]
+        return out
+
+    def _step(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """State after and pieces popped in each buf[start:end], from the given states; all are stepped together."""
         length = ends - starts
         order = np.argsort(-length, kind="stable")
         at, length = starts[order], length[order]
-        state, n = np.full(len(at), self.start, np.int64), np.full(len(at), self.before, np.int64)
-        live, k, shorter = len(at), 0, -length
+        state, n = state[order].astype(np.int64), np.zeros(len(at), np.int64)
+        k, shorter = 0, -length
+        live = int(np.searchsorted(shorter, 0, "left"))
         to, pops = self.to.ravel(), self.pops.ravel()
         while live:
             key = state[:live] * 256 + buf[at[:live] + k]
@@ -88,9 +105,23 @@ class Automaton:
             state[:live] = to[key]
             k += 1
             live = int(np.searchsorted(shorter, -k, "left"))
-        out = np.empty(len(at), np.int64)
-        out[order] = n + self.rest[state]
-        return out
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        return state[back], n[back]
+
+    def _long(self, buf: np.ndarray, start: int, end: int) -> int:
+        """Pieces of one very long word. Its segments are stepped side by side from guessed states; those that turn out to
+        begin in another state than the segment before ends in are stepped again, until all agree, which is exact."""
+        starts = np.arange(start, end, SEGMENT)
+        ends = np.minimum(starts + SEGMENT, end)
+        begin = np.full(len(starts), self.start, np.int64)
+        state, n = self._step(buf, starts, ends, begin)
+        while True:
+            wrong = np.flatnonzero(begin[1:] != state[:-1]) + 1
+            if not len(wrong):
+                return self.before + int(n.sum()) + int(self.rest[state[-1]])
+            begin[wrong] = state[wrong - 1]
+            state[wrong], n[wrong] = self._step(buf, starts[wrong], ends[wrong], begin[wrong])
 
 
 def byte_pieces(path: str) -> list[bytes]:
