@@ -1,13 +1,19 @@
 """Benchmark decontamination by greedy string tiling.
 
-Shared runs of `min_match` words between a document and a benchmark item are the seeds (found by rolling hashes in the
-manner of Karp and Rabin). Seeds on one diagonal join to maximal matches; the longest match whose words are not yet
-marked becomes a tile and is marked, and what overlaps is trimmed and tried again, until no match of min_match words is
-left. An item is found in a document if its tiles cover enough of its words, in whatever order they stand.
+1. Every item of the benchmark has seeds: the hashes of its runs of `min_match` words (rolling hashes in the manner of
+   Karp and Rabin; an item with fewer words has one seed, all of it).
+2. Texts keep the places whose run is possibly a seed, by a bit table of bounded size that is built in the cluster, and
+   are joined with the items on the seeds. An item that is found shares a least number of seeds, so that its most
+   common ones, one fewer than that, take no part in the join (prefix filter).
+3. For each pair of a text and an item, seeds on one diagonal join to maximal matches; the longest match whose words are
+   not yet marked becomes a tile and is marked, and what overlaps is trimmed and tried again, until no match of
+   min_match words is left. An item is found in a text if its tiles cover enough of its words, in whatever order they
+   stand. Equal texts are tiled once.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 from collections.abc import Iterator
 
@@ -15,145 +21,192 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .kernel import iter_words, separators, shingle_hashes
+from .common import Workspace, column_name
+from .kernel import Words, iter_words, mix, separators, shingle_hashes
 
-#: UTF-8 bytes of benchmark text that are held, and sent to the executors, at once. A larger benchmark goes in blocks.
-BLOCK_BYTES = 16 << 20
-_TABLE_BITS = 22
+#: Bits of the bit table for each seed, and the power of two that bounds the table (16 MB).
+BITS_PER_SEED, MOST_BITS = 16, 27
 
 
-def tiles(p: np.ndarray, q: np.ndarray, min_match: int) -> list[tuple[int, int, int]]:
-    """Greedy tiling of seeds: words p+0..min_match-1 of the item equal those from q on of the document.
+def runs(item: np.ndarray, places: np.ndarray, seeds: np.ndarray, min_match: int) -> Iterator[tuple[int, int, int]]:
+    """Maximal matches (item position, text position, words), from the item's seeds and a text's seeds at ascending places.
 
-    Returns (item position, document position, length), longest first; ties go to the smaller positions.
+    The item is walked seed by seed, with one open match for each diagonal, so that memory is bounded by the text's places.
     """
-    order = np.lexsort((p, q - p))
-    p, q = p[order], q[order]
-    cut = np.flatnonzero((np.diff(q - p) != 0) | (np.diff(p) != 1)) + 1
-    heap = []
-    for lo, hi in zip([0, *cut], [*cut, len(p)], strict=True):
-        heap.append((-(hi - lo - 1 + min_match), int(p[lo]), int(q[lo])))
+    order = np.lexsort((places, seeds))
+    keys, at = seeds[order], places[order]
+    lo, hi = np.searchsorted(keys, item, "left"), np.searchsorted(keys, item, "right")
+    diagonals, begin = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for p in range(len(item) + 1):
+        now = at[lo[p] : hi[p]] - p if p < len(item) else np.zeros(0, np.int64)
+        if not len(now) and not len(diagonals):
+            continue
+        spot = np.searchsorted(diagonals, now)
+        known = spot < len(diagonals)
+        known[known] = diagonals[spot[known]] == now[known]
+        start = np.full(len(now), p, np.int64)
+        start[known] = begin[spot[known]]
+        over = np.ones(len(diagonals), bool)
+        over[spot[known]] = False
+        for d, a in zip(diagonals[over].tolist(), begin[over].tolist(), strict=True):
+            yield a, a + d, p - a - 1 + min_match
+        diagonals, begin = now, start
+
+
+def tiles(item: np.ndarray, places: np.ndarray, seeds: np.ndarray, min_match: int) -> list[tuple[int, int, int]]:
+    """Greedy tiling of an item by a text: (item position, text position, length), longest first; ties go to smaller positions."""
+    heap = [(-n, a, b) for a, b, n in runs(item, places, seeds, min_match)]
     heapq.heapify(heap)
-    item, document, out = set(), set(), []
-    while heap:
+    free_item = np.ones(len(item) + min_match - 1, bool)
+    free_text = np.ones(int(places[-1]) + min_match if len(places) else 0, bool)
+    out: list[tuple[int, int, int]] = []
+    left = len(free_item)
+    while heap and left >= min_match:
         n, a, b = heapq.heappop(heap)
-        free = [a + k not in item and b + k not in document for k in range(-n)]
-        if all(free):
+        free = free_item[a : a - n] & free_text[b : b - n]
+        if free.all():
             out.append((a, b, -n))
-            item.update(range(a, a - n))
-            document.update(range(b, b - n))
+            free_item[a : a - n] = free_text[b : b - n] = False
+            left += n
             continue
-        k = 0
-        while k < -n:  # the parts that are still free
-            if free[k]:
-                stop = k
-                while stop < -n and free[stop]:
-                    stop += 1
-                if stop - k >= min_match:
-                    heapq.heappush(heap, (k - stop, a + k, b + k))
-                k = stop
-            k += 1
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], free.view(np.int8), [0]])))
+        for k, stop in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):  # the parts that are still free
+            if stop - k >= min_match:
+                heapq.heappush(heap, (k - stop, a + k, b + k))
     return out
 
 
-class Benchmark:
-    """The seeds of a block of benchmark items, for search."""
-
-    def __init__(self, items: list[tuple[int, str]], min_match: int):
-        self.min_match, self.ids, self.lengths = min_match, [i for i, _ in items], []
-        seeds, where, place, n = [], [], [], 0
-        for w in iter_words(pa.array([t for _, t in items], pa.string()), separators(punctuation=True)):
-            for lo, hi in zip(w.bounds[:-1], w.bounds[1:], strict=True):
-                self.lengths.append(int(hi - lo))
-                s = shingle_hashes(w.hashes[lo:hi], min_match)
-                seeds.append(s)
-                where.append(np.full(len(s), n))
-                place.append(np.arange(len(s)))
-                n += 1
-        seeds = np.concatenate([np.zeros(0, np.uint64), *seeds])
-        order = np.argsort(seeds, kind="stable")
-        self.seeds = seeds[order]
-        self.where, self.place = (np.concatenate([np.zeros(0, np.int64), *x])[order] for x in (where, place))
-        self.table = np.zeros(1 << _TABLE_BITS, bool)
-        self.table[(self.seeds >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
-
-    def search(self, column: pa.Array, coverage: float) -> Iterator[tuple[int, int, int, int]]:
-        """(row, item, words covered, tiles) of the items found in each text."""
-        for w in iter_words(column, separators(punctuation=True)):
-            s = shingle_hashes(w.hashes, self.min_match)
-            at = np.flatnonzero(self.table[(s >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)])
-            lo, hi = np.searchsorted(self.seeds, s[at], "left"), np.searchsorted(self.seeds, s[at], "right")
-            doc = np.searchsorted(w.bounds, at, "right") - 1
-            ok = (hi > lo) & (at + self.min_match <= w.bounds[doc + 1])  # a run must not leave its document
-            at, lo, hi, doc = at[ok], lo[ok], hi[ok], doc[ok]
-            if not len(at):
-                continue
-            n = hi - lo
-            entry = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-            item, p, q, doc = self.where[entry], self.place[entry], np.repeat(at, n), np.repeat(doc, n)
-            order = np.lexsort((q, p, item, doc))
-            item, p, q, doc = item[order], p[order], q[order], doc[order]
-            cut = np.flatnonzero((np.diff(doc) != 0) | (np.diff(item) != 0)) + 1
-            for a, b in zip([0, *cut], [*cut, len(item)], strict=True):
-                i = int(item[a])
-                most = np.unique(p[a:b])
-                bound = int(np.minimum(np.diff(most), self.min_match).sum()) + self.min_match
-                if bound < coverage * self.lengths[i]:
+def _seeds(hashes: np.ndarray, k: int, min_match: int) -> np.ndarray:
+    """Seeds of k words; those of short items are kept apart from whole ones."""
+    s = shingle_hashes(hashes, k)
+    return s if k == min_match else mix(s + np.uint64(k))
+
+
+def _items(batches: Iterator[pa.RecordBatch], min_match: int) -> Iterator[pa.RecordBatch]:
+    """Items with words: item, words, k (words of a seed), seeds in order."""
+    for batch in batches:
+        rows = []
+        for w in iter_words(batch.column(1), separators(punctuation=True)):
+            for i, (lo, hi) in enumerate(zip(w.bounds[:-1].tolist(), w.bounds[1:].tolist(), strict=True)):
+                if hi > lo:
+                    k = min(min_match, hi - lo)
+                    rows.append((w.first + i, hi - lo, k, _seeds(w.hashes[lo:hi], k, min_match).view(np.int64)))
+        if rows:
+            at, n, k, seeds = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(seeds, pa.list_(pa.int64()))], ["item", "words", "k", "seeds"])
+
+
+def _marked(w: Words, table: np.ndarray, bits: int, lengths: list[int], min_match: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, place, seed) of the runs that the table knows; of a short item's seed only the first place in a document."""
+    docs, places, seeds = [], [], []
+    for k in lengths:
+        s = _seeds(w.hashes, k, min_match)
+        slot = s >> np.uint64(64 - bits)
+        at = np.flatnonzero(table[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
+        doc = np.searchsorted(w.bounds, at, "right") - 1
+        ok = at + k <= w.bounds[doc + 1]  # a run must not leave its document
+        at, doc = at[ok], doc[ok]
+        if k < min_match and len(at):
+            _, first = np.unique(np.stack([doc.astype(np.uint64), s[at]]), axis=1, return_index=True)
+            at, doc = at[np.sort(first)], doc[np.sort(first)]
+        docs.append(doc)
+        places.append(at - w.bounds[doc])
+        seeds.append(s[at])
+    doc = np.concatenate(docs)
+    order = np.lexsort((np.concatenate(places), doc))
+    return doc[order], np.concatenate(places)[order], np.concatenate(seeds)[order]
+
+
+def _tile(batches: Iterator[pa.RecordBatch], coverage: float, min_match: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at, item, words, k, mine, places, seeds = (batch.column(i) for i in range(7))
+        rows = []
+        for i in range(batch.num_rows):
+            n, kk = words[i].as_py(), k[i].as_py()
+            have = np.asarray(seeds[i].values).view(np.uint64)
+            wanted = np.asarray(mine[i].values).view(np.uint64)
+            some = np.isin(have, wanted)
+            found = tiles(wanted, np.asarray(places[i].values)[some], have[some], kk)
+            covered = sum(x[2] for x in found)
+            if covered >= coverage * n:
+                rows.append((i, covered, len(found)))
+        if rows:
+            r, covered, count = zip(*rows, strict=True)
+            take = pa.array(r)
+            yield pa.RecordBatch.from_arrays([at.take(take), item.take(take), words.take(take), pa.array(covered, pa.int64()), pa.array(count, pa.int64())], ["at", "item", "item_words", "covered_words", "n_tiles"])
+
+
+def _found(ws: Workspace, docs: DataFrame, benchmark: DataFrame, coverage: float, min_match: int) -> tuple[DataFrame, DataFrame]:
+    """(texts with an item: at, item_id, item_words, covered_words, n_tiles; marked rows: doc_id, at), from docs (doc_id, text)
+    and benchmark (item_id, text); `at` is the MD5 of a text."""
+    known = benchmark.where("text is not null and item_id is not null").groupBy("item_id", "text").agg(F.count(F.lit(1)).alias("repeats"))
+    known = ws.write(known.withColumn("item", F.monotonically_increasing_id()), "benchmark")
+    items = ws.write(known.select("item", "text").mapInArrow(lambda it: _items(it, min_match), "item long, words long, k long, seeds array<long>"), "items")
+    postings = ws.write(items.select("item", "words", "k", F.explode("seeds").alias("seed")).groupBy("item", "words", "k", "seed").agg(F.count(F.lit(1)).alias("m")), "postings")
+
+    n, lengths = postings.agg(F.count(F.lit(1)), F.collect_set("k")).first()  # lengths: at most min_match
+    bits = min(MOST_BITS, max(16, int(n * BITS_PER_SEED).bit_length()))
+    slot = F.call_function("shiftrightunsigned", F.col("seed"), F.lit(64 - bits))
+    word = F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))
+    filled = postings.groupBy(F.floor(slot / 64).alias("i")).agg(F.bit_or(word).alias("w")).toArrow()  # at most 2**bits / 64 rows
+    table = np.zeros(1 << (bits - 6), np.int64)
+    table[np.asarray(filled["i"].combine_chunks())] = np.asarray(filled["w"].combine_chunks())
+    sent = docs.sparkSession.sparkContext.broadcast(table.view(np.uint8))
+    lengths = sorted(lengths)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for w in iter_words(batch.column(1), separators(punctuation=True)):
+                doc, places, seeds = _marked(w, sent.value, bits, lengths, min_match) if lengths else (np.zeros(0, np.int64),) * 3
+                if not len(doc):
                     continue
-                found = tiles(p[a:b], q[a:b], self.min_match)
-                covered = sum(x[2] for x in found)
-                if covered >= coverage * self.lengths[i]:
-                    yield w.first + int(doc[a]), i, covered, len(found)
-
-
-def benchmark_blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", min_match: int = 5) -> Iterator[Benchmark]:
-    """The benchmark in blocks of about BLOCK_BYTES. Items without text, and null items, are left out."""
-    b = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).where("text is not null and item_id is not null")
-    size = b.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // BLOCK_BYTES))
-    for k in range(blocks):
-        part = b if blocks == 1 else b.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        yield Benchmark(sorted((r[0], r[1]) for r in part.collect()), min_match)
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", coverage: float = 0.5, min_match: int = 5) -> DataFrame:
+                which, start = np.unique(doc, return_index=True)
+                cut = pa.array(np.append(start, len(doc)), pa.int32())
+                rows = pa.array(w.first + which)
+                texts = batch.column(1).take(rows).to_pylist()
+                arrays = [batch.column(0).take(rows), pa.array([hashlib.md5(t.encode()).digest() for t in texts], pa.binary())]
+                arrays += [pa.ListArray.from_arrays(cut, pa.array(x)) for x in (places.astype(np.int64), seeds.view(np.int64))]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "at", "places", "seeds"])
+
+    marked = ws.write(docs.mapInArrow(mark, "doc_id long, at binary, places array<long>, seeds array<long>"), "marked")
+    texts = ws.write(marked.groupBy("at").agg(F.first("places").alias("places"), F.first("seeds").alias("seeds")), "texts")
+    # of an item's seeds by falling number of items that have them, the first ones are skipped, in all fewer than `least` places
+    least = F.ceil(F.ceil(F.col("words") * coverage - F.lit(1e-9)) / F.col("k"))
+    common = postings.groupBy("seed").agg(F.count(F.lit(1)).alias("items"))
+    before = F.sum("m").over(Window.partitionBy("item").orderBy(F.col("items").desc(), "seed").rowsBetween(Window.unboundedPreceding, 0))
+    probes = ws.write(postings.join(common, "seed").withColumn("before", before).where(F.col("before") >= F.greatest(least, F.lit(1))).select("seed", "item"), "probes")
+    hits = ws.write(texts.select("at", F.explode(F.array_distinct("seeds")).alias("seed")).join(probes, "seed").select("at", "item").distinct(), "pairs")
+    pairs = hits.join(items, "item").withColumnRenamed("seeds", "mine").join(texts, "at").select("at", "item", "words", "k", "mine", "places", "seeds")
+    found = ws.write(pairs.mapInArrow(lambda it: _tile(it, coverage, min_match), "at binary, item long, item_words long, covered_words long, n_tiles long"), "found")
+    named = found.join(known.select("item", "item_id", "repeats"), "item").withColumn("repeat", F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats"))))
+    return named.select("at", "item_id", "item_words", "covered_words", "n_tiles"), marked.select("doc_id", "at")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", coverage: float = 0.5, min_match: int = 5) -> DataFrame:
     """One row per benchmark item found in a document: doc_id, item_id, item_words, covered_words, coverage, n_tiles.
 
-    Words are runs of letters and digits, A-Z lower-cased. Items of fewer than min_match words are never found. Null and
-    empty texts contain nothing. Rows that repeat a document or an item give rows that repeat. Other columns are ignored.
+    Words are runs of letters and digits, A-Z lower-cased. An item of fewer than min_match words is found where all of
+    them stand in a row; one without words is not. Null and empty texts contain nothing; null items are left out. Rows
+    that repeat a document or an item give rows that repeat. Other columns are ignored, whatever their names; an empty
+    table on either side gives an empty result. Jobs run when this is called.
     """
-    sc, slim = docs.sparkSession.sparkContext, docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = "doc_id long, item_id long, item_words long, covered_words long, coverage double, n_tiles long"
-    out = None
-    for block in benchmark_blocks(benchmark, min_match=min_match):
-        sent = sc.broadcast(block)  # at most about BLOCK_BYTES of text
-
-        def find(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            b = sent.value
-            for batch in batches:
-                rows = [(r, b.ids[i], b.lengths[i], n, n / b.lengths[i], t) for r, i, n, t in b.search(batch.column(1), coverage)]
-                if rows:
-                    r, *rest = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(r)), *[pa.array(c) for c in rest]], [x.split()[0] for x in schema.split(", ")])
-
-        part = slim.mapInArrow(find, schema)
-        out = part if out is None else out.union(part)
-    return out
+    ws = Workspace(docs.sparkSession, "decontaminate")
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    found, marked = _found(ws, slim, benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")), coverage, min_match)
+    return marked.join(found, "at").select("doc_id", "item_id", "item_words", "covered_words", (F.col("covered_words") / F.col("item_words")).alias("coverage"), "n_tiles")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", coverage: float = 0.5, min_match: int = 5) -> DataFrame:
-    """docs without the documents in which a benchmark item is found; one pass, no shuffle."""
-    position = docs.columns.index(text_col)
-    for block in benchmark_blocks(benchmark, min_match=min_match):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", coverage: float = 0.5, min_match: int = 5) -> DataFrame:
+    """docs without the rows whose text holds a benchmark item; columns and other rows are unchanged.
 
-        def keep(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ok = np.ones(batch.num_rows, bool)
-                for r, *_ in sent.value.search(batch.column(position), coverage):
-                    ok[r] = False
-                yield batch.filter(pa.array(ok))
-
-        docs = docs.mapInArrow(keep, docs.schema)
-    return docs
+    Null and empty texts stay, repeated rows stay or go together, columns may have any names, an empty benchmark removes
+    nothing. Texts that go are few; they are joined by digest, by broadcast where their table is small enough.
+    """
+    ws = Workspace(docs.sparkSession, "decontaminate")
+    slim = docs.select(F.lit(0).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    found, _ = _found(ws, slim, benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")), coverage, min_match)
+    gone = column_name(docs, "gone_")
+    texts = ws.write(found.select(F.col("at").alias(gone)).distinct(), "gone")
+    return docs.join(texts, F.unhex(F.md5(F.col(text_col).cast("string").cast("binary"))) == F.col(gone), "left_anti")
