@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,7 +76,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key="surrogates of the corpus, 1")
+    # without a configured key, surrogates of one run cannot be linked with those of another
+    key = spark.conf.get("spark.quirespark.surrogates.key", None) or secrets.token_hex(16)
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
 
 
 @query
