@@ -142,8 +142,12 @@ def _pour(value: Column, chars: Column, where: str, skip: Column) -> Column:
 
 
 def _surrogate(key: str, kind: Column, value: Column, canonical: Column, attempt: Column) -> Column:
-    """The replacement of an entity as written. Draws and digits are computed once."""
-    return let(_draws(key, kind, canonical, attempt, 48), lambda draws: let(_reshape(canonical, draws, 48, letters=False), lambda digits: _replacement(kind, value, canonical, draws, digits, attempt)))
+    """The replacement of an entity as written. Attempt, draws and digits are computed once."""
+
+    def drawn(a: Column) -> Column:
+        return let(_draws(key, kind, canonical, a, 48), lambda draws: let(_reshape(canonical, draws, 48, letters=False), lambda digits: _replacement(kind, value, canonical, draws, digits, a)))
+
+    return let(attempt, drawn)
 
 
 def _replacement(kind: Column, value: Column, canonical: Column, draws: Column, digits: Column, attempt: Column) -> Column:
@@ -160,7 +164,7 @@ def _replacement(kind: Column, value: Column, canonical: Column, draws: Column,
     domain = F.regexp_extract(as_written, r"(\.\p{L}{2,})$", 1)
     email = let(domain, lambda end: F.concat(more, _reshape(F.substring(as_written, F.lit(1), F.length(as_written) - F.length(end)), draws, 48, letters=True), end))
     body_of_secret = _reshape(canonical, draws, 48, letters=True, hexadecimal=canonical.rlike("^[0-9a-f]+$"))
-    secret = F.when(canonical.rlike("^AKIA[0-9A-Z]{16}$"), F.concat(F.lit("AKIA"), F.substring(body_of_secret, F.lit(5), F.length(canonical)))).otherwise(F.concat(body_of_secret, more))
+    secret = let(body_of_secret, lambda b: F.when(canonical.rlike("^AKIA[0-9A-Z]{16}$"), F.concat(F.lit("AKIA"), F.substring(b, F.lit(5), F.length(canonical)))).otherwise(F.concat(b, more)))
     secret = F.concat(F.substring(value, F.lit(1), F.length(value) - F.length(canonical)), secret)
     account = _reshape(F.substring(canonical, F.lit(5), F.length(canonical)), draws, 48, letters=True)
     iban = let(account, lambda a: let(F.lit(98) - _mod97(F.concat(a, F.substring(canonical, 1, 2), F.lit("00"))), lambda n: F.concat(F.substring(canonical, 1, 2), F.lpad(n.cast("string"), 2, "0"), a)))
@@ -176,18 +180,27 @@ def _replacement(kind: Column, value: Column, canonical: Column, draws: Column,
     )
 
 
+def _listed(values: list[str]) -> Column:
+    """An array literal of values without spaces, made by one call."""
+    return F.split(F.lit(" ".join(values)), " ")
+
+
+def _syllables(table: list[str], draws: Column, n: Column) -> Column:
+    return F.array_join(F.transform(F.slice(draws, F.lit(2), F.least(n, F.lit(40))), lambda d: F.get(_listed(table), d % len(table))), "")
+
+
 def _name(kind: Column, value: Column, draws: Column, attempt: Column) -> Column:
     """A given or family name of the value's script; capitals stay capitals."""
-    made = F.lit(None).cast("string")
-    listed = F.lit(None).cast("string")
-    for s, syllables in SYLLABLES.items():
-        parts = F.transform(F.slice(draws, F.lit(2), F.least(F.lit(4) + F.floor(attempt / WIDEN).cast("int"), F.lit(40))), lambda d, table=syllables: F.get(F.lit(table), d % len(table)))
-        made = F.when(_script(value) == s, F.array_join(parts, "")).otherwise(made)
-        for g, names in (("given_male", GIVEN["male", s]), ("given_female", GIVEN["female", s]), ("given_either", GIVEN["male", s] + GIVEN["female", s])):
-            listed = F.when((kind == g) & (_script(value) == s), F.get(F.lit(names), F.get(draws, F.lit(0)) % len(names))).otherwise(listed)
-    made = let(made, lambda f: F.concat(F.upper(F.substring(f, 1, 1)), F.substring(f, F.lit(2), F.length(f))))
-    name = F.when((kind != "family") & (attempt < WIDEN), listed).otherwise(made)
-    return F.when((value == F.upper(value)) & (F.length(value) > 1), F.upper(name)).otherwise(name)
+
+    def of_script(script: Column) -> Column:
+        made = listed = F.lit(None).cast("string")
+        for s, syllables in SYLLABLES.items():
+            made = F.when(script == s, _syllables(syllables, draws, F.lit(4) + F.floor(attempt / WIDEN).cast("int"))).otherwise(made)
+            for g, names in (("given_male", GIVEN["male", s]), ("given_female", GIVEN["female", s]), ("given_either", GIVEN["male", s] + GIVEN["female", s])):
+                listed = F.when((kind == g) & (script == s), F.get(_listed(names), F.get(draws, F.lit(0)) % len(names))).otherwise(listed)
+        return F.when((kind != "family") & (attempt < WIDEN), listed).otherwise(F.initcap(made))
+
+    return let(let(_script(value), of_script), lambda name: F.when((value == F.upper(value)) & (F.length(value) > 1), F.upper(name)).otherwise(name))
 
 
 def _kind(value: Column) -> Column:
@@ -205,7 +218,7 @@ def _title(value: Column) -> Column:
 def _parts(kind: Column, value: Column, home: str) -> Column:
     """The entities of a mention: the names of a person, or the mention itself; array of (kind, value, canonical)."""
     gender = F.when(value.rlike(rf"^(?:{_MALE})\.? "), "given_male").when(value.rlike(rf"^(?:{_FEMALE})\.? "), "given_female").otherwise("given_either")
-    known = {g: F.lit([n.lower() for (sex, _), table in GIVEN.items() if sex == g for n in table]) for g in ("male", "female")}
+    known = {g: _listed([n.lower() for (sex, _), table in GIVEN.items() if sex == g for n in table]) for g in ("male", "female")}
 
     def role(token: Column) -> Column:
         low = F.lower(token)
@@ -234,10 +247,10 @@ def attempts(ws: Workspace, entities: DataFrame, key: str, home: str = "1") -> D
     table = ws.write(entities.groupBy("kind", "canonical").agg(F.min("value").alias("value")).withColumn("attempt", F.lit(0)), "entities")
     space = F.substring_index("kind", "_", 1)  # given names of either gender are told apart too
     taken = table.where("kind not like 'given%'").select(space.alias("space"), F.col("canonical").alias("made"))
+    draw = let(_surrogate(key, F.col("kind"), F.col("value"), F.col("canonical"), F.col("attempt")), lambda x: _canonical(F.col("kind"), x, home))
+    owner = F.struct("canonical", "kind")
     for _ in range(ROUNDS):
-        made = _canonical(F.col("kind"), _surrogate(key, F.col("kind"), F.col("value"), F.col("canonical"), F.col("attempt")), home)
-        made = ws.write(table.withColumn("space", space).withColumn("made", made), "made")
-        owner = F.struct("canonical", "kind")
+        made = ws.write(table.withColumn("space", space).withColumn("made", draw), "made")
         first = made.groupBy("space", "made").agg(F.min(owner).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
         real = made.join(taken, ["space", "made"], "left_semi").select("kind", "canonical")
         clash = ws.write(made.join(first, ["space", "made"]).where(owner != F.col("first")).select("kind", "canonical").union(real).distinct(), "clashes")
