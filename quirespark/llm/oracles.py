@@ -2,47 +2,40 @@
 
 from __future__ import annotations
 
-from .quality_rules import REFERENCES
+from .quality_rules import CLASS_LIMIT, WORD_LIMIT
 
 _SEP = r"[\x20\x09-\x0D]+"
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
-def _distance(p: str, q: list[float]) -> str:
-    shares = "[" + ", ".join(f"CAST({x!r} AS DOUBLE)" for x in q) + "]"
+def _distance(p: str, q: str) -> str:
     half = "CASE WHEN {a} > 0 THEN {a} * log2({a} / (({x} + {y}) / 2)) ELSE 0 END"
-    x, y = f"{p}[i]", f"{shares}[i]"
+    x, y = f"{p}[i]", f"{q}[i]"
     term = f"({half.format(a=x, x=x, y=y)} + {half.format(a=y, x=x, y=y)}) / 2"
-    return f"sqrt(greatest(0, list_sum(list_transform(range(1, {len(q) + 1}), lambda i: {term}))))"
-
-
-def _nearest(p: str, references: dict[str, list[float]]) -> str:
-    own = " ".join(f"WHEN '{k}' THEN {_distance(p, q)}" for k, q in references.items())
-    return f"CASE lang {own} ELSE least({', '.join(_distance(p, q) for q in references.values())}) END"
+    return f"sqrt(greatest(0, list_sum(list_transform(range(1, len({q}) + 1), lambda i: {term}))))"
 
 
 def quality_rules_sql() -> str:
-    common = sorted({w for _, t in REFERENCES.values() for w in t})
-    listed = "[" + ", ".join(f"'{w}'" for w in common) + "]"
-    word_refs = {}
-    for k, (_, t) in REFERENCES.items():
-        known = [t.get(w, 0) / 1000 for w in common]
-        word_refs[k] = [*known, 1 - sum(known)]
-    class_refs = {k: list(s) for k, (s, _) in REFERENCES.items()}
-    return rf"""WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents),
-    w AS (SELECT doc_id, lang, t, regexp_extract_all(t, '{_WORD}') AS ws, regexp_replace(t, '{_SEP}', '', 'g') AS c0, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS ls FROM d),
+    classes = ", ".join(f"sum(kc[{i}]) / sum(nc)" for i in range(1, 7))
+    return rf"""WITH d AS (SELECT row_number() OVER () AS id, doc_id, lang, coalesce(text, '') AS t FROM documents),
+    w AS (SELECT id, doc_id, lang, t, regexp_extract_all(t, '{_WORD}') AS ws, regexp_replace(t, '{_SEP}', '', 'g') AS c0, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS ls FROM d),
     a AS (SELECT *, regexp_replace(c0, '\p{{Ll}}+', '', 'g') AS c1 FROM w), b AS (SELECT *, regexp_replace(c1, '\p{{L}}+', '', 'g') AS c2 FROM a), c AS (SELECT *, regexp_replace(c2, '\p{{Nd}}+', '', 'g') AS c3 FROM b),
     e AS (SELECT *, regexp_replace(c3, '[.,;:!?''"()-]+', '', 'g') AS c4 FROM c), f AS (SELECT *, regexp_replace(c4, '[[:punct:]]+', '', 'g') AS c5, list_transform(ws, lambda x: lower(rtrim(x, '.,;:'))) AS nw FROM e),
-    h AS (SELECT *, list_transform({listed}, lambda k: len(list_filter(nw, lambda x: x = k))) AS hit FROM f),
-    g AS (SELECT doc_id, lang, len(ws) AS n, length(c0) AS nc, length(c0) - length(regexp_replace(c0, '[#*$%&|<>]+', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
-      list_transform([length(c0) - length(c1), length(c1) - length(c2), length(c2) - length(c3), length(c3) - length(c4), length(c4) - length(c5), length(c5)], lambda x: x / greatest(length(c0), 1)) AS cs,
-      list_transform(list_append(hit, len(ws) - list_sum(hit)), lambda x: x / greatest(len(ws), 1)) AS hs FROM h),
-    r1 AS (SELECT doc_id, unnest(range(1, len(ws) - 1)) AS i, ws FROM w WHERE len(ws) >= 4), r2 AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i], ws[i + 1], ws[i + 2]) AS k FROM r1),
-    r3 AS (SELECT DISTINCT doc_id, i + j AS p FROM r2, (SELECT unnest([0, 1, 2]) AS j) WHERE k > 1), r AS (SELECT doc_id, count(*) AS n_repeat_words FROM r3 GROUP BY 1),
-    x AS (SELECT g.doc_id, n AS n_words, nc AS word_chars, n_symbols, n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, CASE WHEN nc >= 150 THEN {_nearest("cs", class_refs)} END AS cd, CASE WHEN n >= 50 THEN {_nearest("hs", word_refs)} END AS wd FROM g LEFT JOIN r ON r.doc_id = g.doc_id),
-    y AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM x)
+    g AS (SELECT id, doc_id, lang, nw, len(ws) AS n, length(c0) AS nc, length(c0) - length(regexp_replace(c0, '[#*$%&|<>]+', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+      [length(c0) - length(c1), length(c1) - length(c2), length(c2) - length(c3), length(c3) - length(c4), length(c4) - length(c5), length(c5)] AS kc FROM f),
+    lt AS (SELECT lang, sum(n) AS n, [{classes}] AS cls FROM g WHERE n >= 50 AND lang IS NOT NULL GROUP BY 1 HAVING sum(n) >= 10000),
+    rw AS (SELECT lang, x, count(*) AS c FROM (SELECT lang, unnest(nw) AS x FROM g WHERE n >= 50) WHERE regexp_matches(x, '^\p{{L}}') GROUP BY 1, 2),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY c DESC, x) AS k FROM rw), rl AS (SELECT lt.lang, any_value(cls) AS cls, list(x ORDER BY k) AS common, list(c / lt.n ORDER BY k) AS sh FROM rk JOIN lt USING (lang) WHERE k <= 24 GROUP BY 1),
+    rf AS (SELECT lang AS of_lang, cls, common, list_append(sh, 1 - list_sum(sh)) AS sh FROM rl),
+    m AS (SELECT g.*, rf.* FROM g LEFT JOIN rf ON rf.of_lang = g.lang OR g.lang IS NULL OR g.lang NOT IN (SELECT of_lang FROM rf)),
+    h AS (SELECT *, list_transform(common, lambda k: len(list_filter(nw, lambda x: x = k))) AS hit, list_transform(kc, lambda x: x / greatest(nc, 1)) AS cs FROM m),
+    s AS (SELECT *, list_transform(list_append(hit, n - list_sum(hit)), lambda x: x / greatest(n, 1)) AS hs FROM h),
+    q AS (SELECT id, min(CASE WHEN nc >= 150 THEN {_distance("cs", "cls")} END) AS cd, min(CASE WHEN n >= 50 THEN {_distance("hs", "sh")} END) AS wd FROM s GROUP BY 1),
+    r1 AS (SELECT id, unnest(range(1, len(ws) - 1)) AS i, ws FROM w WHERE len(ws) >= 4), r2 AS (SELECT id, i, count(*) OVER (PARTITION BY id, ws[i], ws[i + 1], ws[i + 2]) AS k FROM r1),
+    r3 AS (SELECT DISTINCT id, i + j AS p FROM r2, (SELECT unnest([0, 1, 2]) AS j) WHERE k > 1), r AS (SELECT id, count(*) AS n_repeat_words FROM r3 GROUP BY 1),
+    y AS (SELECT doc_id, n AS n_words, nc AS word_chars, n_symbols, n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, n < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * n AS base_failed, cd, wd FROM g JOIN q USING (id) LEFT JOIN r USING (id))
     SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-      NOT base_failed AND coalesce(cd, 0) <= 0.22 AND coalesce(wd, 0) <= 0.60 AS kept, round(cd, 6) AS class_distance, round(wd, 6) AS word_distance FROM y"""
+      NOT base_failed AND coalesce(cd, 0) <= {CLASS_LIMIT} AND coalesce(wd, 0) <= {WORD_LIMIT} AS kept, round(cd, 6) AS class_distance, round(wd, 6) AS word_distance FROM y"""
 
 
 def line_dedup_sql() -> str:

@@ -1,59 +1,90 @@
-"""Quality rules by distribution divergence, in DataFrame functions only (one pass, no shuffle).
+"""Quality rules by distribution divergence, in DataFrame functions only (no shuffle of documents).
 
-A document's histograms of character classes and of common words are compared with language references by
-Jensen-Shannon distance (square root of the divergence to base 2, between 0 and 1). Short texts are guarded: below
-`min_chars` characters in words the class rule abstains, below `min_words` words the word rule does.
+A document's histograms of character classes and of common words are compared with the references of its language by
+Jensen-Shannon distance (square root of the divergence to base 2, between 0 and 1). The references are fitted on a whole
+corpus, by default the documents themselves: a language's shares of character classes, and its most frequent words with
+their shares of all words. Short texts are guarded: below `min_chars` characters in words the class rule abstains, below
+`min_words` words the word rule does.
+
+The limits were read off the labelled documents of a sample of 9,529 (quality 1: 3,243, quality 0: 548). To its language,
+99 % of the good ones are within 0.304 by words and all within 0.254 by classes; 95 % of the bad ones are beyond 0.338
+by words. A text without any common word is at 0.39 to 0.40, one in another language at 0.37 or more (99 %).
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import let, words
 
+_SEP = r"[\x20\x09-\x0D]"
 #: Classes of characters in words: lower-case letters, other letters, digits, sentence punctuation, other ASCII marks, the rest.
 CLASS_PATTERNS = (r"\p{Ll}+", r"[\p{L}&&[^\p{Ll}]]+", r"\p{Nd}+", r"[.,;:!?'\"()\-]+", r"[\p{Punct}&&[^.,;:!?'\"()\-]]+")
+CLASS_LIMIT, WORD_LIMIT = 0.26, 0.33
+_REFERENCE = "array<struct<lang string, words array<string>, shares array<double>, classes array<double>>>"
+
 
-# Rounded shares of character classes, and frequencies per thousand words of the commonest words, in ordinary prose.
-REFERENCES = {
-    "en": (
-        (0.930, 0.032, 0.006, 0.028, 0.002, 0.002),
-        {"the": 61, "of": 30, "and": 28, "to": 26, "in": 21, "a": 21, "is": 10, "that": 11, "for": 9, "it": 9, "as": 7, "was": 8, "with": 7, "be": 6, "by": 5, "on": 7, "he": 7, "at": 5, "are": 5, "this": 5, "or": 4, "from": 4, "an": 4, "his": 4},
-    ),
-    "de": (
-        (0.900, 0.060, 0.006, 0.030, 0.002, 0.002),
-        {"der": 35, "die": 33, "und": 29, "in": 18, "den": 13, "von": 11, "zu": 11, "das": 10, "mit": 9, "sich": 8, "des": 8, "auf": 8, "für": 7, "ist": 8, "im": 8, "dem": 7, "nicht": 7, "ein": 6, "eine": 6, "als": 5, "auch": 5, "es": 5, "an": 5, "werden": 4},
-    ),
-    "fr": (
-        (0.925, 0.030, 0.006, 0.035, 0.002, 0.002),
-        {"de": 52, "la": 30, "le": 26, "et": 24, "les": 20, "des": 17, "en": 15, "un": 14, "du": 13, "une": 12, "que": 11, "est": 11, "pour": 10, "qui": 9, "dans": 9, "a": 9, "par": 8, "au": 8, "sur": 7, "plus": 6, "pas": 6, "ne": 6, "se": 6, "ce": 5},
-    ),
-    "es": (
-        (0.930, 0.030, 0.006, 0.030, 0.002, 0.002),
-        {"de": 65, "la": 41, "que": 31, "el": 30, "en": 28, "y": 27, "a": 20, "los": 17, "se": 13, "del": 13, "las": 11, "un": 11, "por": 10, "con": 10, "no": 9, "una": 9, "es": 9, "su": 8, "para": 7, "al": 7, "lo": 6, "como": 6, "más": 5, "o": 5},
-    ),
-}
+def _plain_words(text: Column) -> Column:
+    """Words in lower case without closing marks."""
+    return F.array_remove(F.split(F.lower(F.regexp_replace(text, rf"[.,;:]+(?={_SEP}|\z)", "")), rf"{_SEP}+"), "")
+
+
+def _squeezed(text: Column) -> Column:
+    return F.regexp_replace(text, rf"{_SEP}+", "")
+
+
+def _with_classes(d: DataFrame) -> DataFrame:
+    """d, which has `chars`, with the array `classes`: every class is removed in turn, so that each pass reads what is left."""
+    names = ["chars"]
+    for i, pattern in enumerate(CLASS_PATTERNS):
+        d = d.withColumn(f"left{i}", F.regexp_replace(names[-1], pattern, ""))
+        names.append(f"left{i}")
+    counts = [F.length(a) - F.length(b) for a, b in zip(names, names[1:], strict=False)] + [F.length(names[-1])]
+    return d.withColumn("classes", F.array(*counts)).drop(*names[1:])
+
+
+def fit_references(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", min_words: int = 50, top: int = 24, least_words: int = 10_000, languages: int = 32) -> list[dict]:
+    """References of the languages of a corpus: lang, words (the `top` most frequent that begin with a letter), shares (theirs
+    and that of all other words), classes (shares of the character classes).
+
+    Every document of min_words words or more counts, whatever its quality; null languages and texts do not. Languages of
+    fewer than least_words words have no reference; of the others, the `languages` with most words have one. Ties go to
+    the smaller word or language. An empty table has none. `languages` * `top` rows come to the driver.
+    """
+    d = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
+    d = d.withColumn("n", F.size(words(F.col("text")))).where(F.col("n") >= min_words)
+    sums = [F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(len(CLASS_PATTERNS) + 1)]
+    totals = _with_classes(d.select("lang", "n", _squeezed(F.col("text")).alias("chars"))).groupBy("lang").agg(F.sum("n").alias("n"), *sums)
+    best = totals.where(F.col("n") >= least_words).orderBy(F.col("n").desc(), "lang").limit(languages).collect()
+    seen = d.select("lang", F.explode(_plain_words(F.col("text"))).alias("w")).where(F.col("lang").isin([r.lang for r in best])).groupBy("lang", "w").agg(F.count(F.lit(1)).alias("c"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("c").desc(), "w"))
+    common = seen.where(F.col("w").rlike(r"^\p{L}")).withColumn("r", rank).where(F.col("r") <= top).collect() if best else []
+    out = []
+    for t in best:
+        mine = sorted((r for r in common if r.lang == t.lang), key=lambda r: r.r)
+        shares = [r.c / t.n for r in mine]
+        classes = [t[f"c{i}"] for i in range(len(CLASS_PATTERNS) + 1)]
+        out.append({"lang": t.lang, "words": [r.w for r in mine], "shares": [*shares, 1 - sum(shares)], "classes": [c / max(sum(classes), 1) for c in classes]})
+    return out
 
 
 def _repeat_words(ws: Column, n: Column) -> Column:
     """Words that lie in a 3-word window found twice or more in the text.
 
-    Windows are sorted by hash with their position in the low bits; neighbours with equal hashes are compared as words.
+    Windows are sorted by hash and position; neighbours with equal hashes are compared as words.
     """
-    bits = F.length(F.bin(n))
-    low = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
-    hashed = F.transform(ws, lambda w, i: F.call_function("shiftleft", F.xxhash64(w, F.get(ws, i + 1), F.get(ws, i + 2)), bits).bitwiseOR(i.cast("long")))
-
-    def position(x: Column) -> Column:
-        return x.bitwiseAND(low).cast("int")
+    hashed = F.transform(ws, lambda w, i: F.struct(F.xxhash64(w, F.get(ws, i + 1), F.get(ws, i + 2)).alias("h"), i.alias("i")))
 
     def pair(x: Column, y: Column) -> Column:
         """Positions of two neighbours that are the same window, else null."""
-        same = F.call_function("shiftright", x, bits) == F.call_function("shiftright", y, bits)
+        same = x["h"] == y["h"]
         for k in range(3):
-            same = same & (F.get(ws, position(x) + k) == F.get(ws, position(y) + k))
-        return F.when(same, F.array(position(x), position(y)))
+            same = same & (F.get(ws, x["i"] + k) == F.get(ws, y["i"] + k))
+        return F.when(same, F.array(x["i"], y["i"]))
 
     found = let(F.sort_array(F.slice(hashed, F.lit(1), F.greatest(n - 2, F.lit(0)))), lambda s: F.transform(s, lambda x, i: pair(x, F.get(s, i + 1))))
     at = F.sort_array(F.flatten(F.filter(found, lambda p: p.isNotNull())))  # a place may stand here twice: it then adds nothing
@@ -71,83 +102,63 @@ def _distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(F.zip_with(p, q, term), F.lit(0.0), lambda a, b: a + b)))
 
 
-def _nearest(p: Column, lang: Column, references: dict[str, list[float]]) -> Column:
-    """Distance to the reference of the document's language; of an unknown language, to the nearest one."""
-    literal = {k: F.lit([float(x) for x in v]) for k, v in references.items()}
-    far = [_distance(p, q) for q in literal.values()]
-    known = F.create_map(*[x for k, q in literal.items() for x in (F.lit(k), q)])
-    own = F.try_element_at(known, lang)
-    return F.when(own.isNotNull(), _distance(p, own)).otherwise(F.least(*far) if len(far) > 1 else far[0])
+def _word_shares(plain: Column, n: Column, common: Column, codes: str) -> Column:
+    """Shares of the common words and of all others. Every word is written as one character, the first code for any other
+    word, and those of the common ones are counted."""
+    coded = F.replace(F.array_join(F.transform(plain, lambda w: F.substring(F.lit(codes), F.array_position(common, w).cast("int") + 1, F.lit(1))), ""), F.lit(codes[0]), F.lit(""))
+
+    def counted(s: Column) -> Column:
+        hits = F.transform(common, lambda w, i: F.length(s) - F.length(F.replace(s, F.substring(F.lit(codes), i + 2, F.lit(1)), F.lit(""))))
+        return F.transform(F.concat(hits, F.array(n - F.length(s))), lambda x: x / n)
+
+    return let(coded, counted)
 
 
-def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", references: dict | None = None, min_words: int = 50, min_chars: int = 150, class_limit: float = 0.22, word_limit: float = 0.60) -> DataFrame:
-    """One row per row of docs: doc_id, counts, base_failed, class_distance, word_distance, kept.
+def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", references: list[dict] | None = None, min_words: int = 50, min_chars: int = 150, class_limit: float = CLASS_LIMIT, word_limit: float = WORD_LIMIT) -> DataFrame:
+    """One row per row of docs: doc_id, counts, base_failed, kept, class_distance, word_distance.
 
-    references: language -> (shares of the six character classes, frequencies of common words per thousand words).
-    A null text counts as empty: no words, so base_failed. A null or unknown language, or no language column, is held
-    against the nearest reference. A distance is null where its guard abstains. Equal texts of one language get equal
+    references: as fit_references gives them; without, they are fitted on docs when this is called. A null text counts as
+    empty: no words, so base_failed. A null or unknown language, or no language column, is held against the nearest
+    reference. A distance is null where its guard abstains or no reference exists. Equal texts of one language get equal
     verdicts. Other columns are ignored, whatever their names; an empty table gives an empty result.
     """
-    return _judged(docs, id_col, text_col, lang_col, references or REFERENCES, min_words, min_chars, class_limit, word_limit, False)
+    return _judged(docs, id_col, text_col, lang_col, references, min_words, min_chars, class_limit, word_limit, False)
 
 
-def keep_good(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", references: dict | None = None, min_words: int = 50, min_chars: int = 150, class_limit: float = 0.22, word_limit: float = 0.60) -> DataFrame:
-    """The rows of docs that quality_rules keeps, unchanged, in the same pass."""
-    judged = _judged(docs, id_col, text_col, lang_col, references or REFERENCES, min_words, min_chars, class_limit, word_limit, True)
+def keep_good(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", references: list[dict] | None = None, min_words: int = 50, min_chars: int = 150, class_limit: float = CLASS_LIMIT, word_limit: float = WORD_LIMIT) -> DataFrame:
+    """The rows of docs that quality_rules keeps, unchanged, whatever their columns are called; repeated rows stay or go
+    together, null and short texts go, an empty table stays empty."""
+    judged = _judged(docs, id_col, text_col, lang_col, references, min_words, min_chars, class_limit, word_limit, True)
     # a filter would be pushed down with the whole expression copied into it; a generator is not
     return judged.select(F.inline(F.when(F.col("kept"), F.array("row_"))))
 
 
-def _judged(docs: DataFrame, id_col: str, text_col: str, lang_col: str | None, references: dict, min_words: int, min_chars: int, class_limit: float, word_limit: float, carry: bool) -> DataFrame:
+def _judged(docs: DataFrame, id_col: str, text_col: str, lang_col: str | None, references: list[dict] | None, min_words: int, min_chars: int, class_limit: float, word_limit: float, carry: bool) -> DataFrame:
+    if references is None:
+        references = fit_references(docs, text_col=text_col, lang_col=lang_col, min_words=min_words) if lang_col else []
     lang = F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
-    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), lang.alias("lang"), *([F.struct("*").alias("row_")] if carry else []))
     row = ["row_"] if carry else []
+    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), lang.alias("lang"), *([F.struct("*").alias("row_")] if carry else []))
     d = d.withColumn("ws", words(F.col("text")))
-    squeezed = F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    d = d.select(*row, "doc_id", "lang", "ws", F.size("ws").alias("n"), squeezed.alias("chars"), lines.alias("lines"))
-
-    common = sorted({w for _, table in references.values() for w in table})
-    codes = "".join(chr(0x21 + i) for i in range(len(common) + 1))  # the first stands for any other word
-    if len(common) > 90:
-        raise ValueError("at most 90 common words in all languages together")
-    listed = F.lit(common)
-    longest = max(map(len, common))
-    bare = lambda w: F.rtrim(w, F.lit(".,;:"))
-    place = lambda w: F.array_position(listed, F.lower(bare(w)))
-    # only words short enough are looked up; lower case never shortens one
-    coded = F.array_join(F.transform("ws", lambda w: F.when(F.length(bare(w)) <= longest, F.substring(F.lit(codes), (place(w) + 1).cast("int"), F.lit(1))).otherwise(F.lit(""))), "")
-    # each class is removed in turn, so that every pass reads what the earlier ones left
-    step = d
-    left_name = "chars"
-    for i, pattern in enumerate(CLASS_PATTERNS):
-        step = step.withColumn(f"left{i}", F.regexp_replace(left_name, pattern, ""))
-        left_name = f"left{i}"
-    names = ["chars", *[f"left{i}" for i in range(len(CLASS_PATTERNS))]]
-    counts = [F.length(a) - F.length(b) for a, b in zip(names, names[1:], strict=False)] + [F.length(names[-1])]
-    d = step.select(
-        *row, "doc_id", "lang", "n",
+    d = d.select(*row, "doc_id", "lang", "ws", F.size("ws").alias("n"), _squeezed(F.col("text")).alias("chars"), lines.alias("lines"), _plain_words(F.col("text")).alias("plain"))
+    d = _with_classes(d).select(
+        *row, "doc_id", "lang", "n", "plain", "classes",
         F.length("chars").cast("long").alias("word_chars"),
         (F.length("chars") - F.length(F.regexp_replace("chars", r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.col("n") >= 4, _repeat_words(F.col("ws"), F.col("n"))).otherwise(F.lit(0).cast("long")).alias("n_repeat_words"),
-        F.array(*counts).alias("classes"),
-        F.replace(coded, F.lit(codes[0]), F.lit("")).alias("coded"),
     )
-    total = F.greatest(F.col("word_chars"), F.lit(1)).cast("double")
-    hits = F.array(*[F.length("coded") - F.length(F.replace("coded", F.lit(c), F.lit(""))) for c in codes[1:]])
-    d = d.withColumn("hits", F.concat(hits, F.array(F.col("n") - F.length("coded"))))
-    word_refs = {}
-    for k, (_, table) in references.items():
-        known = [table.get(w, 0) / 1000 for w in common]
-        word_refs[k] = [*known, 1 - sum(known)]
-    class_refs = {k: list(shares) for k, (shares, _) in references.items()}
+    known = F.from_json(F.lit(json.dumps(references)), _REFERENCE)
+    own = F.filter(known, lambda r: r["lang"] == F.col("lang"))
+    d = d.withColumn("refs", F.when(F.col("lang").isin([r["lang"] for r in references]), own).otherwise(known))
+    shares = F.transform("classes", lambda x: x / F.greatest(F.col("word_chars"), F.lit(1)))
+    codes = "".join(chr(0x100 + i) for i in range(1 + max((len(r["words"]) for r in references), default=0)))
     d = d.withColumns({
-        "class_distance": F.when(F.col("word_chars") >= min_chars, _nearest(F.transform("classes", lambda x: x / total), F.col("lang"), class_refs)),
-        "word_distance": F.when(F.col("n") >= min_words, _nearest(F.transform("hits", lambda x: x / F.col("n")), F.col("lang"), word_refs)),
+        "class_distance": F.when(F.col("word_chars") >= min_chars, let(shares, lambda p: F.array_min(F.transform("refs", lambda r: _distance(p, r["classes"]))))),
+        "word_distance": F.when(F.col("n") >= min_words, F.array_min(F.transform("refs", lambda r: _distance(_word_shares(F.col("plain"), F.col("n"), r["words"], codes), r["shares"])))),
         "n_words": F.col("n").cast("long"),
     })
     d = d.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     near = (F.coalesce("class_distance", F.lit(0.0)) <= class_limit) & (F.coalesce("word_distance", F.lit(0.0)) <= word_limit)
     return d.select(*row, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & near).alias("kept"), "class_distance", "word_distance")
-

@@ -1,4 +1,5 @@
 import collections
+import math
 import random
 import re
 import zlib
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from quirespark.llm import classifier, decontaminate, kernel, line_dedup, mixing, near_dedup, quality_rules, sharding, surrogates, token_counts, token_files
 from quirespark.llm.common import Workspace, bucketed_rank, components
 
-from .conftest import prose, texts_of
+from .conftest import WORD, prose, texts_of
 
 SEP = r"[^\x20\x09-\x0D]+"
 
@@ -115,26 +116,57 @@ def test_quality_base_counts_and_verdicts(corpus, none):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == base(texts[r.doc_id]), r.doc_id
         assert not (r.kept and r.base_failed)
     assert quality_rules.quality_rules(none).count() == 0
-    assert {r.doc_id for r in rows if r.kept} >= {i for i in range(40) if i % 3 != 1}  # those are English marked as German
+    assert quality_rules.fit_references(none) == [] and {r.word_distance for r in rows} == {None}  # too little text for references
 
 
-def test_divergent_texts_go(spark):
+@pytest.fixture(scope="module")
+def references(spark):
+    rows = [(prose(i), "en") for i in range(120)] + [(re.sub("[aeiou]", "ö", prose(i)), "de") for i in range(120)] + [("rare " * 60, "xx"), (None, "en"), ("no language " * 60, None)]
+    return quality_rules.fit_references(spark.createDataFrame(rows, "text string, lang string"), least_words=1000)
+
+
+def js(p, q):
+    return math.sqrt(max(0, sum(sum(x * math.log2(x / ((a + b) / 2)) for x in (a, b) if x) / 2 for a, b in zip(p, q, strict=True))))
+
+
+def shares_of(text):
+    chars = re.sub(r"\s", "", text)
+    kinds = [regex.findall(p, chars) for p in (r"\p{Ll}", r"(?=\p{L})\P{Ll}", r"\p{Nd}", r"[.,;:!?'\"()\-]", r"(?![.,;:!?'\"()\-])[!-/:-@\[-`{-~]")]
+    counts = [*map(len, kinds), len(chars) - sum(map(len, kinds))]
+    return [x / len(chars) for x in counts], [w.lower().rstrip(".,;:") for w in words(text)]
+
+
+def test_references_and_distances_equal_plain_counting(spark, references):
+    assert [r["lang"] for r in references] == ["de", "en"] or [r["lang"] for r in references] == ["en", "de"]
+    by = {r["lang"]: r for r in references}
+    seen = collections.Counter(w for i in range(120) for w in shares_of(prose(i))[1])
+    top = sorted(((w, c) for w, c in seen.items() if w[:1].isalpha()), key=lambda x: (-x[1], x[0]))[:24]
+    assert by["en"]["words"] == [w for w, _ in top] and np.allclose(by["en"]["shares"][:-1], [c / seen.total() for _, c in top]) and abs(sum(by["en"]["shares"]) - 1) < 1e-9
+    texts = [prose(500), prose(501, 60).upper(), "x " * 30, re.sub("[aeiou]", "ö", prose(7)), "### ".join(prose(3).split(" "))]
+    rows = [(i, t, lang) for i, t in enumerate(texts) for lang in ("en", "de", "xx", None)]
+    got = {(r.doc_id, r.lang): r for r in quality_rules.keep_good(spark.createDataFrame(rows, "doc_id long, text string, lang string"), references=references, class_limit=2, word_limit=2).collect()}
+    d = spark.createDataFrame([(n, t, lang) for n, (_, t, lang) in enumerate(rows)], "doc_id long, text string, lang string")
+    judged = {r.doc_id: r for r in quality_rules.quality_rules(d, references=references).collect()}
+    for n, (i, t, lang) in enumerate(rows):
+        classes, plain = shares_of(t)
+        mine = [by[lang]] if lang in by else references
+        count = collections.Counter(plain)
+        hists = [[*(count[w] / len(plain) for w in r["words"]), 1 - sum(count[w] for w in r["words"]) / len(plain)] for r in mine]
+        want = min(js(h, r["shares"]) for h, r in zip(hists, mine, strict=True)) if len(plain) >= 50 else None
+        near = min(js(classes, r["classes"]) for r in mine) if len(re.sub(r"\s", "", t)) >= 150 else None
+        r = judged[n]
+        for x, y in ((want, r.word_distance), (near, r.class_distance)):
+            assert (x is None) == (y is None) and (x is None or abs(x - y) < 1e-6)
+        assert r.kept == (not r.base_failed and (near or 0) <= quality_rules.CLASS_LIMIT and (want or 0) <= quality_rules.WORD_LIMIT)
+        assert ((i, lang) in got) == (not r.base_failed)
+
+
+def test_divergent_texts_go(spark, references):
     t = prose(1)
-    bad = [t.upper().replace(" ", "!! "), t.replace(" ", "### "), " | ".join(x for x in t.split() if len(x) > 5) * 2]
+    bad = [t.upper().replace(" ", "!! "), t.replace(" ", "### "), " | ".join(x for x in t.split() if len(x) > 5) * 2, " ".join(w for i in range(4) for w in prose(60 + i).split() if w.rstrip(".") not in WORD)]
     d = spark.createDataFrame([(i, x, "en", x) for i, x in enumerate([t, *bad])], "doc_id long, text string, lang string, row_ string")
-    assert [r.doc_id for r in quality_rules.quality_rules(d).where("kept").collect()] == [0]
-    assert quality_rules.keep_good(d).collect() == d.where("doc_id = 0").collect()
-
-
-def test_distance_is_a_metric_of_shares():
-    import math
-
-    def js(p, q):
-        return math.sqrt(sum(sum(x * math.log2(x / ((a + b) / 2)) for x in (a, b) if x) / 2 for a, b in zip(p, q, strict=True)))
-
-    for shares, table in quality_rules.REFERENCES.values():
-        assert abs(sum(shares) - 1) < 1e-9 and sum(table.values()) < 1000
-    assert js([1, 0], [0, 1]) == 1 and js([0.5, 0.5], [0.5, 0.5]) == 0
+    assert [r.doc_id for r in quality_rules.quality_rules(d, references=references).where("kept").collect()] == [0]
+    assert quality_rules.keep_good(d, references=references).collect() == d.where("doc_id = 0").collect()
 
 
 # ---- 2
