@@ -48,5 +48,11 @@ def line_dedup_sql() -> str:
     p3 AS (SELECT *, coalesce(sum(length(s)) OVER (PARTITION BY doc_id, unit ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS more FROM p2), p4 AS (SELECT doc_id, unit, j, n, off + more AS off, {measured} FROM p3),
     q AS (SELECT doc_id, unit, -1 AS part, off, lead, fin, ws FROM f WHERE len(ws) >= 5 UNION ALL SELECT doc_id, unit, j - 1, off, lead, fin, ws FROM p4 WHERE len(ws) >= 8 AND len(ws) < n),
     g AS (SELECT *, array_to_string(ws, ' ') AS key, row_number() OVER (PARTITION BY doc_id, array_to_string(ws, ' ') ORDER BY off + lead) AS again FROM q), m AS (SELECT key, min(doc_id) AS first_doc_id FROM g GROUP BY 1),
-    z AS (SELECT doc_id, unit, part, CAST(off + lead AS BIGINT) AS start_char, CAST(off + fin AS BIGINT) AS end_char, CAST(len(ws) AS BIGINT) AS n_words, first_doc_id FROM g JOIN m USING (key) WHERE again > 1 OR doc_id <> first_doc_id)
-    SELECT doc_id, unit, CAST(part AS BIGINT) AS part, start_char, end_char, n_words, first_doc_id FROM z WHERE part < 0 OR NOT EXISTS (SELECT 1 FROM z y WHERE y.doc_id = z.doc_id AND y.unit = z.unit AND y.part < 0)"""
+    pl AS (SELECT doc_id, unit, part, row_number() OVER (PARTITION BY doc_id ORDER BY unit, part) - 1 AS place FROM q WHERE part >= 0 OR NOT EXISTS (SELECT 1 FROM q o WHERE o.doc_id = q.doc_id AND o.unit = q.unit AND o.part >= 0)),
+    sp AS (SELECT doc_id, unit, min(place) AS a, max(place) AS b FROM pl GROUP BY 1, 2),
+    z AS (SELECT doc_id, unit, part, CAST(off + lead AS BIGINT) AS start_char, CAST(off + fin AS BIGINT) AS end_char, CAST(len(ws) AS BIGINT) AS n_words, first_doc_id FROM g JOIN m USING (key) WHERE again > 1 OR doc_id <> first_doc_id),
+    y AS (SELECT z.*, CASE WHEN z.part < 0 THEN a ELSE place END AS a, CASE WHEN z.part < 0 THEN b ELSE place END AS b FROM z JOIN sp USING (doc_id, unit) LEFT JOIN pl ON pl.doc_id = z.doc_id AND pl.unit = z.unit AND pl.part = z.part
+      WHERE z.part < 0 OR NOT EXISTS (SELECT 1 FROM z o WHERE o.doc_id = z.doc_id AND o.unit = z.unit AND o.part < 0)),
+    i AS (SELECT *, CASE WHEN a > coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), -2) + 1 THEN 1 ELSE 0 END AS new FROM y), k AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY a) AS passage FROM i),
+    s AS (SELECT *, sum(n_words) OVER (PARTITION BY doc_id, passage) AS total FROM k)
+    SELECT doc_id, unit, CAST(part AS BIGINT) AS part, start_char, end_char, n_words, first_doc_id FROM s WHERE total >= 15"""

@@ -618,15 +618,11 @@ def test_automaton_counts_above_a_byte_and_very_long_words():
 # ---- 9
 
 
-@pytest.mark.parametrize("paragraphs", [False, True])
-def test_repeated_units_equal_brute_force(spark, corpus, none, paragraphs):
-    rows = {i: t for i, t in texts_of(corpus)}
-    rows[62], rows[63] = f"{prose(800, 20)} First alpha beta gamma delta epsilon zeta eta theta. {prose(801, 20)}", f"{prose(802, 20)}. First alpha beta gamma delta epsilon zeta eta theta. End"
-    rows[60], rows[61] = prose(1) + "\n\n" + prose(2), prose(2) + "\n\n" + prose(1) + "\n" + prose(1)
-    d = spark.createDataFrame([(i, t, 1) for i, t in rows.items()], "doc_id long, text string, unit int")
-    first, want, found = {}, set(), []
+def plain_repeats(rows, paragraphs, least):
+    """repeated_units by plain rules, from texts by id."""
+    found, first = [], {}
     for i in sorted(rows):
-        t, at, unit, mine = rows[i] or "", 0, 0, set()
+        t, at, unit, place = rows[i] or "", 0, 0, 0
         for line in re.split(r"(\n[^\S\n]*\n\s*)" if paragraphs else r"(\n)", t):
             spots = [(at + m.start(), at + m.end(), m.group()) for m in re.finditer(SEP, line)]
             at += len(line)
@@ -639,11 +635,13 @@ def test_repeated_units_equal_brute_force(spark, corpus, none, paragraphs):
                     sentences.append(current)
                     current = []
             sentences += [current] if current else []
-            some = [(-1, spots)] if len(spots) >= 5 else []
-            some += [(k, x) for k, x in enumerate(sentences) if 8 <= len(x) < len(spots)]
-            for part, x in some:
-                found.append((i, unit, part, x[0][0], x[-1][1], len(x), tuple(low(y[2]) for y in x)))
-                first.setdefault(found[-1][-1], i)
+            parts = [(k, x) for k, x in enumerate(sentences) if 8 <= len(x) < len(spots)]
+            some = [(-1, spots, place, place + max(len(parts), 1) - 1)] if len(spots) >= 5 else []
+            some += [(k, x, place + n, place + n) for n, (k, x) in enumerate(parts)]
+            place += max(len(parts), len(spots) >= 5)
+            for part, x, a, b in some:
+                found.append((i, unit, part, x[0][0], x[-1][1], len(x), tuple(low(y[2]) for y in x), a, b))
+                first.setdefault(found[-1][6], i)
             unit += 1
     seen, gone = set(), []
     for f in sorted(found, key=lambda f: (f[0], f[3], f[2])):
@@ -651,17 +649,40 @@ def test_repeated_units_equal_brute_force(spark, corpus, none, paragraphs):
             gone.append(f)
         seen.add((f[0], f[6]))
     whole = {(f[0], f[1]) for f in gone if f[2] < 0}
-    want = {(*f[:6], first[f[6]]) for f in gone if f[2] < 0 or (f[0], f[1]) not in whole}
-    got = {tuple(r) for r in line_dedup.repeated_units(d, paragraphs=paragraphs).collect()}
-    assert got == want and (paragraphs or len(want) > 10)
+    gone = [f for f in gone if f[2] < 0 or (f[0], f[1]) not in whole]
+    passages = []
+    for f in gone:
+        if passages and passages[-1][-1][0] == f[0] and passages[-1][-1][8] + 1 == f[7]:
+            passages[-1].append(f)
+        else:
+            passages.append([f])
+    return {(*f[:6], first[f[6]]) for p in passages if sum(f[5] for f in p) >= least for f in p}
+
+
+@pytest.mark.parametrize("paragraphs", [False, True])
+def test_repeated_units_equal_brute_force(spark, corpus, none, paragraphs):
+    rows = {i: t for i, t in texts_of(corpus)}
+    rows[62], rows[63] = f"{prose(800, 20)} First alpha beta gamma delta epsilon zeta eta theta. {prose(801, 20)}", f"{prose(802, 20)}. First alpha beta gamma delta epsilon zeta eta theta. End"
+    rows[60], rows[61] = prose(1) + "\n\n" + prose(2), prose(2) + "\n\n" + prose(1) + "\n" + prose(1)
+    rows[64] = rows[62].split("\n")[0] + " " + prose(3).replace("\n", " ") + "\n" + prose(4)
+    d = spark.createDataFrame([(i, t, 1) for i, t in rows.items()], "doc_id long, text string, unit int")
+    for least in (1, 15):
+        want = plain_repeats(rows, paragraphs, least)
+        got = [tuple(r) for r in line_dedup.repeated_units(d, paragraphs=paragraphs, min_passage_words=least).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and (paragraphs or len(want) > 10)
     assert line_dedup.repeated_units(none).count() == 0
 
 
 def test_cut_texts_keep_offsets_into_the_original(spark):
-    d = spark.createDataFrame([(1, "one two three four five\nkeep"), (2, "x\none TWO three four five\ny"), (3, None)], "doc_id long, text string")
-    got = {r.doc_id: r for r in line_dedup.drop_repeated_units(d).collect()}
-    assert got[1].text == "one two three four five\nkeep" and got[2].text == "x\ny" and got[3].text is None
-    assert [tuple(s) for s in got[2].removed_spans] == [(2, 25)] and got[1].removed_spans == []
+    line = "one two three four five"
+    rows = [(1, f"{line}\nkeep"), (2, f"x\n{line.replace('two', 'TWO')}\ny"), (3, None), (None, line), (2, f"other {line}\n{line}"), (2, f"x\n{line.replace('two', 'TWO')}\ny")]
+    clash = ", ".join(f"{c} int" for c in ("gone__", "spans__", "doc_", "key_", "spans_", "removed_spans"))
+    d = spark.createDataFrame([(*r, *[9] * 6) for r in rows], f"doc_id long, text string, {clash}")
+    got = line_dedup.drop_repeated_units(d, min_passage_words=5).collect()
+    assert got[0].asDict().keys() == {*d.columns, "removed_spans_"} and len(got) == 6
+    by = collections.Counter((r.doc_id, r.text, tuple(map(tuple, r.removed_spans_))) for r in got)
+    assert by == {(1, f"{line}\nkeep", ()): 1, (2, "x\ny", ((2, 25),)): 2, (3, None, ()): 1, (None, line, ()): 1, (2, f"other {line}\n", ((30, 53),)): 1}
+    assert line_dedup.drop_repeated_units(d).where("size(removed_spans_) > 0").count() == 0  # shorter than a passage
 
 
 # ---- 10
