@@ -6,11 +6,12 @@
    representative has cannot match, so a representative with fewer than POSTED_MATCHES shared values is skipped whole;
    of the others only the f - POSTED_MATCHES + 1 rarest shared values are posted (prefix filter under one global order).
    Two signatures that agree in POSTED_MATCHES of the posted coordinates meet in at least one such list.
-3. A pair is a candidate if its set sizes allow the similarity and its signatures agree in MATCHES of 64 coordinates;
-   candidates are confirmed on full shingle sets. First each representative is held against the best heads (smallest
-   members) of its lists; what that links is one component. Then lists with several components are compared across
-   components only, in blocks of bounded size: once for each member's nearest partner, then whole. There a pair must
-   also agree in a sketch of 512 bins. So a large group of copies costs about its size, not its square.
+3. Pairs that meet in a list have their collisions counted, coordinate by coordinate; a pair is a candidate if its set
+   sizes allow the similarity and MATCHES of 64 coordinates collide. Candidates are confirmed on full shingle sets.
+   First each representative is held against the heads (smallest members) of its lists; what that links is one
+   component. Then lists with several components are compared across components only, in blocks of bounded size: once
+   for each member's nearest partner, then whole. There a pair must also agree in a sketch of 512 bins. So a large group
+   of copies costs about its size, not its square, with or without outsiders in its lists.
 
 A pair at similarity 0.8 misses step 2 with probability about 1e-6 (binomial: fewer than 12 of 32 coordinates agree)
 and step 3 with about 4e-6 (fewer than 34 of 64; five deviations below the expected bins is rarer); all fall fast above 0.8. No list, bucket or candidate is capped.
@@ -24,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import Workspace, components
+from .common import Workspace, column_name, components
 from .kernel import iter_words, mix, separators, shingle_sets
 
 COORDINATES, MATCHES = 64, 34
@@ -168,6 +170,36 @@ def _across(batches: Iterator[pa.RecordBatch], percent: int, best: bool) -> Iter
         yield pairs(rest)
 
 
+def _steps(ws: Workspace, labelled: DataFrame) -> DataFrame:
+    """(rep, posted, token, comp, block, bi, bj): the members of lists (rep, posted, token, comp) in every comparison of two
+    blocks of about BLOCK members that can hold members of different components.
+
+    A component with more than BLOCK members of a list has blocks of its own, which are not compared with each other; the
+    others share blocks. So a list with one large component and a few outsiders costs about its size, not its square.
+    """
+    parts = ws.write(labelled.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("m")), "parts")
+    mixed = ws.write(parts.groupBy("token").agg(F.count(F.lit(1)).alias("comps"), F.coalesce(F.sum(F.when(F.col("m") <= BLOCK, F.col("m"))), F.lit(0)).alias("small")).where("comps > 1"), "mixed")
+    shared = F.ceil(F.col("small") / BLOCK)  # blocks 0, 1, ... of a list are shared
+    large = parts.where(F.col("m") > BLOCK).join(mixed, "token")
+    number = Window.partitionBy("token").orderBy("comp").rowsBetween(Window.unboundedPreceding, -1)  # fewer than members / BLOCK rows
+    own = F.ceil(F.col("m") / BLOCK)
+    large = ws.write(large.select("token", "comp", (shared + F.coalesce(F.sum(own).over(number), F.lit(0))).alias("first"), own.alias("blocks")), "large")
+    spans = mixed.select("token", F.lit(None).cast("long").alias("comp"), F.lit(0).cast("long").alias("first"), shared.alias("blocks")).where("blocks > 0").unionByName(large)
+    spans = ws.write(spans.select("token", "comp", F.col("first").cast("long").alias("first"), F.col("blocks").cast("long").alias("blocks")), "spans")
+    every = lambda first, n: F.explode(F.sequence(F.col(first), F.col(first) + F.col(n) - 1))
+    other = spans.select("token", F.col("first").alias("first2"), F.col("blocks").alias("blocks2"))
+    pairs = spans.join(other, "token").where((F.col("first") < F.col("first2")) | (F.col("comp").isNull() & (F.col("first") == F.col("first2"))))
+    pairs = pairs.withColumn("bi", every("first", "blocks")).withColumn("bj", every("first2", "blocks2")).where("bi <= bj").select("token", "bi", "bj")
+    pairs = ws.write(pairs, "block_pairs")
+    # a block takes part in steps as either side
+    sides = pairs.select("token", F.col("bi").alias("block"), "bi", "bj").union(pairs.where("bi <> bj").select("token", F.col("bj").alias("block"), "bi", "bj"))
+    placed = labelled.join(mixed.select("token", shared.cast("long").alias("shared")), "token").join(large.withColumnRenamed("first", "own"), ["token", "comp"], "left")
+    in_own = F.col("own") + F.pmod(F.xxhash64("rep"), F.col("blocks"))
+    in_shared = F.pmod(F.xxhash64("comp", F.floor(F.xxhash64("rep") / 2**54)), F.greatest("shared", F.lit(1)))
+    placed = placed.withColumn("block", F.when(F.col("own").isNotNull(), in_own).otherwise(in_shared).cast("long"))
+    return placed.join(sides, ["token", "block"]).select("rep", "posted", "token", "comp", "block", "bi", "bj")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
@@ -213,11 +245,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     members = ws.write(side.join(sets.select(F.col("doc_id").alias("rep"), "sketch"), "rep"), "members")
     for best in (True, False):
-        labelled = ws.write(active.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "posted", "token", "m", F.coalesce("component", "rep").alias("comp")), "labelled")
-        mixed = ws.write(labelled.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token"), "mixed")
-        blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-        rows = labelled.join(mixed, "token").join(members, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        rows = rows.select("token", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "rep", "posted", "comp", "n", "sig", "sketch")
+        rows = _steps(ws, ws.write(active.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "posted", "token", F.coalesce("component", "rep").alias("comp")), "labelled"))
+        rows = rows.join(members, "rep").select("token", "bi", "bj", "block", "rep", "posted", "comp", "n", "sig", "sketch")
         rows = rows.repartition("token", "bi", "bj").sortWithinPartitions("token", "bi", "bj")
         found = ws.write(rows.mapInArrow(lambda it, best=best: _across(it, percent, best), "a long, b long").distinct(), "across")
         links = ws.write(links.union(confirmed(found)), "all_links")
@@ -235,8 +264,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """Docs without the documents of which near_duplicates keeps another; columns and other rows are unchanged.
 
-    Rows that repeat a kept doc_id stay; a doc_id is expected to be a key.
+    Null, empty and blank texts and rows with a null doc_id stay. Rows that repeat a kept doc_id stay; a doc_id is
+    expected to be a key. Columns may have any names; an empty table stays empty.
     """
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, shingle_words=shingle_words, percent=percent)
-    gone = found.where("not kept").select(F.col("doc_id").alias("gone__")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("gone__"), "left_anti")
+    key = column_name(docs, "gone_")
+    gone = found.where("not kept").select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(gone, F.col(id_col) == F.col(key), "left_anti")

@@ -217,6 +217,54 @@ def test_a_drifting_group_of_near_copies(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, (_, c) in got.items() if i == c) and kept.columns == d.columns
 
 
+def test_blocks_compare_all_pairs_of_components_and_few_others(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    rng = random.Random(3)
+    rows = [(1, 700 + i, 0) for i in range(200)] + [(1, i, i) for i in range(1, 20)] + [(2, 950 + i, 950 + i % 3) for i in range(60)] + [(3, i, 0) for i in range(700, 760)] + [(4, 5000 + i, 5000 + i) for i in range(40)]
+    rng.shuffle(rows)
+    d = spark.createDataFrame(rows, "token long, rep long, comp long").withColumn("posted", F.lit(1).cast("long"))
+    steps = collections.defaultdict(list)
+    for r in near_dedup._steps(Workspace(spark, "t"), d).collect():
+        assert r.block in (r.bi, r.bj)
+        steps[r.token, r.bi, r.bj].append((r.rep, r.comp, r.block))
+    met = collections.Counter()
+    for (token, bi, bj), members in steps.items():
+        assert len(members) <= 8 * near_dedup.BLOCK
+        for x in members:
+            for y in members:
+                if x[0] < y[0] and x[1] != y[1] and {x[2], y[2]} == {bi, bj}:
+                    met[token, x[0], y[0]] += 1
+    want = {(t, a, b) for t, a, c in rows for u, b, e in rows if t == u and a < b and c != e}
+    assert set(met) == want and set(met.values()) == {1}
+    assert not [k for k in steps if k[0] == 3]  # one component only
+    assert sum(len(m) for k, m in steps.items() if k[0] == 1) < 6 * 220  # about the list's size, not its square
+
+
+def test_many_copies_and_an_outsider_cost_about_their_number(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 32)
+    rng, base_words, seen = random.Random(1), prose(7, 200).split(), []
+    rows = []
+    for i in range(1500):
+        w = list(base_words)
+        w[rng.randrange(len(w))] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    half = " ".join(base_words[:140] + prose(8, 60).split())  # shares many coordinates and is no copy
+    rows.append((5000, half))
+    steps = near_dedup._steps
+
+    def counted(ws, labelled):
+        rows = ws.write(steps(ws, labelled), "counted")
+        seen.append(rows.count())
+        return rows
+
+    monkeypatch.setattr(near_dedup, "_steps", counted)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(d, shingle_words=4).collect()}
+    assert got == {i: 5000 if i == 5000 else 0 for i, _ in rows}
+    # of 1500 copies in up to 21 lists each; their square in blocks would be 1500 * 21 * 47 rows
+    assert sum(seen) < 1500 * 21 * 6
+
+
 # ---- 3
 
 
