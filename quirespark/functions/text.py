@@ -14,13 +14,15 @@ ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 #: A word of running text: Latin letters, then letters, apostrophes and hyphens.
 WORD = r"[A-Za-zÀ-ÖØ-öø-ÿŒœ][A-Za-zÀ-ÖØ-öø-ÿŒœ'’\-]*"
-#: Abbreviations of a scholar's apparatus, which count as words.
+# Abbreviations of a scholar's apparatus, which count as words; suffixes of inflected forms and what takes
+# their place in the lemma; particles that belong to the surname after them; a numeral in roman letters.
 APPARATUS = (
     "f", "ff", "op", "cit", "ibid", "cf", "pp", "seq", "vol", "vols", "ed", "eds", "ch", "chs", "et", "al", "fig", "figs", "fol", "fols",
     "no", "nos", "viz", "cp", "passim", "supra", "infra", "sic", "esp", "repr", "rev", "trans",
 )
-#: Suffixes of inflected forms and what takes their place in the lemma.
 INFLECTIONS = (("s", ""), ("es", ""), ("ed", ""), ("ed", "e"), ("ing", ""), ("ing", "e"), ("ly", ""), ("ies", "y"), ("est", ""), ("er", ""))
+PARTICLES = ("van", "von", "de", "der", "den", "di", "du", "la", "le", "mac", "mc", "o", "ten", "ter")
+ROMAN = "^M{0,4}(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})$"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -102,15 +104,21 @@ def strip_tags(html: Column) -> Column:
 
 
 def norm_title(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " "))
+    """Lower case, with single spaces; what is no letter a-z, digit or space is left out, so that `It's` is `its`."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " "), "[^a-z0-9 ]", ""))
 
 
 def surname_forms(name: Column) -> Column:
-    """The last name, and it with the lower-case particle before it; names of two letters or fewer have no form."""
-    parts = F.array_remove(F.split(F.trim(name), r"\s+"), "")
-    last = F.try_element_at(parts, F.lit(-1))
-    particle = F.regexp_extract(F.trim(name), r"(?:^|\s)([a-zà-ÿ]+\s+\S+)$", 1)
-    return F.filter(F.array_distinct(F.array(last, particle)), lambda x: F.length(x) > 2)
+    """The last name, and it with a particle before it (in either case, with or without a stop); forms of two letters or
+    fewer do not count. Commas at the end are no part of a name."""
+    parts = F.array_remove(F.split(F.rtrim(F.trim(name), F.lit(",")), r"\s+"), "")
+
+    def forms(p: Column) -> Column:
+        last, before = F.try_element_at(p, F.lit(-1)), F.try_element_at(p, F.lit(-2))
+        whole = F.when(F.rtrim(F.lower(before), F.lit(".")).isin(*PARTICLES), F.concat_ws(" ", before, last))
+        return F.filter(F.array(last, whole), lambda x: F.length(x) > 2)
+
+    return let(parts, forms)
 
 
 def roman_to_int(text: Column) -> Column:
@@ -124,7 +132,7 @@ def is_roman(word: Column) -> Column:
     """A numeral of two letters or more in one case, stops and commas aside."""
     bare = F.regexp_replace(word, "^[.,;:]+|[.,;:]+$", "")
     one_case = (bare == F.upper(bare)) | (bare == F.lower(bare))
-    return (F.length(bare) >= 2) & one_case & F.upper(bare).rlike("^M{0,3}(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})$")
+    return (F.length(bare) >= 2) & one_case & F.upper(bare).rlike(ROMAN)
 
 
 def lemma_candidates(word: Column) -> Column:

@@ -58,8 +58,9 @@ def witness_tokens(tsv: DataFrame) -> DataFrame:
 def stitch_page_turns(pages: DataFrame) -> DataFrame:
     """pages(book_id, page_index, toks, shipped_last) with words that a page's end cut made whole.
 
-    If a page's last token and one of the first eight of the next page with tokens make the last word that was shipped
-    (folded), the joined word ends this page and the other token leaves the next one.
+    A page whose last token is a fragment (a hyphen after a letter or digit) is completed by one of the first eight
+    tokens of the next page with tokens, if both make the last word that was shipped (folded): the joined word then ends
+    this page, and the other token leaves the next one.
     """
 
     def stitch(pdf):
@@ -70,52 +71,57 @@ def stitch_page_turns(pages: DataFrame) -> DataFrame:
             last = pdf["shipped_last"][k]
             if not toks[k] or after is None or not isinstance(last, str):
                 continue
-            stem = toks[k][-1]
-            for at, other in enumerate(toks[after][:8]):
-                if fold(stem + other) == fold(last) and fold(stem) != fold(last):
-                    toks[k][-1] = stem.rstrip("-") + other
-                    del toks[after][at]
-                    break
+            if not (fragment := re.fullmatch(r"(.*[^\W_])-", toks[k][-1], re.S)):
+                continue
+            wholes = [fragment.group(1) + other for other in toks[after][:8]]
+            at = next((i for i, w in enumerate(wholes) if fold(w) == fold(last)), None)
+            if at is not None:
+                toks[k][-1] = wholes[at]
+                del toks[after][at]
         return pdf.assign(toks=toks)
 
     return pages.select("book_id", "page_index", "toks", "shipped_last").groupBy("book_id").applyInPandas(stitch, "book_id string, page_index long, toks array<string>, shipped_last string")
 
 
 def align_pair(ours: list[str], theirs: list[str]) -> tuple[list[tuple[int, str, str]], int]:
-    """Disputed pairs (position in ours, our word, theirs) of two token lists, and the pairs dropped as seams.
+    """Disputed pairs (position in theirs, our word, theirs) of two token lists, and the pairs dropped as seams.
 
     Runs of equally many words that replace each other are paired. A pair is a seam, not a dispute, if the words could
     not be one word (lengths within 2 and similarity of one half) and the run has three words or ours has theirs anyway.
     """
+    found, seams = _aligned(ours, theirs)
+    return [(j, ours[i], theirs[j]) for i, j in found], seams
+
+
+def _aligned(ours: list[str], theirs: list[str]) -> tuple[list[tuple[int, int]], int]:
+    """Positions in ours and theirs of the disputed pairs, and the number of seams."""
     a, b = [fold(w) for w in ours], [fold(w) for w in theirs]
-    known, pairs, seams = set(a), [], 0
-    for op, i1, i2, j1, j2 in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-        if op != "replace" or i2 - i1 != j2 - j1:
-            continue
-        for k in range(i2 - i1):
-            x, y = a[i1 + k], b[j1 + k]
-            one = abs(len(x) - len(y)) <= KEEP_LENGTH and difflib.SequenceMatcher(None, x, y, autojunk=False).ratio() >= KEEP_RATIO
-            if not one and (i2 - i1 >= SEAM_RUN or y in known):
-                seams += 1
-            else:
-                pairs.append((i1 + k, ours[i1 + k], theirs[j1 + k]))
-    return pairs, seams
+    even = [(i1, j1, i2 - i1) for op, i1, i2, j1, j2 in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes() if op == "replace" and i2 - i1 == j2 - j1]
+    placed = [(i + k, j + k, n) for i, j, n in even for k in range(n)]
+    known = set(a)
+    alike = [(i, j) for i, j, n in placed if _one_word(a[i], b[j]) or (n < SEAM_RUN and b[j] not in known)]
+    return alike, len(placed) - len(alike)
+
+
+def _one_word(x: str, y: str) -> bool:
+    return abs(len(x) - len(y)) <= KEEP_LENGTH and difflib.SequenceMatcher(None, x, y).ratio() >= KEEP_RATIO
 
 
 _PAIRS = "array<struct<seq:int,ours:string,theirs:string>>"
 
 
 def align(readings: DataFrame) -> DataFrame:
-    """(book_id, page_index, pairs, agreed, seams): disputes of each page, and the words that are in none."""
+    """(book_id, page_index, pairs, agreed, seams): disputes of each page (seq is the place in theirs), and the words of ours
+    that are in none."""
 
     @F.pandas_udf(f"struct<pairs:{_PAIRS},agreed:array<string>,seams:int>")
     def both(ours: pd.Series, theirs: pd.Series) -> pd.DataFrame:
         rows = []
         for x, y in zip(ours, theirs, strict=True):
             a, b = _tokens(x), _tokens(y)
-            pairs, seams = align_pair(a, b)
-            disputed = {p[0] for p in pairs}
-            rows.append(([{"seq": s, "ours": p, "theirs": q} for s, p, q in pairs], [fold(w) for k, w in enumerate(a) if k not in disputed], seams))
+            pairs, seams = _aligned(a, b)
+            disputed = {i for i, _ in pairs}
+            rows.append(([{"seq": j, "ours": a[i], "theirs": b[j]} for i, j in pairs], [fold(w) for k, w in enumerate(a) if k not in disputed], seams))
         return pd.DataFrame(rows, columns=["pairs", "agreed", "seams"])
 
     return readings.select("book_id", "page_index", both("ours", "theirs").alias("r")).select("book_id", "page_index", "r.*")
@@ -130,7 +136,7 @@ def lexicon(tokens: DataFrame, least: int = LEXICON_FLOOR) -> DataFrame:
     return tokens.where("word <> ''").groupBy("book_id", "word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
 
 
-def _with_words(df: DataFrame, column: str, dictionary: DataFrame, name: str) -> DataFrame:
+def with_known(df: DataFrame, column: str, dictionary: DataFrame, name: str) -> DataFrame:
     """Adds `name`: whether a folded word or one of its lemmas is in the dictionary, or it is apparatus."""
     distinct = df.select(F.col(column).alias("w_")).distinct()
     known = distinct.withColumn("c_", F.explode(T.lemma_candidates(F.col("w_")))).where("length(w_) > 1").join(dictionary.select(F.lower("word").alias("c_")).distinct(), "c_", "left_semi").select("w_").distinct()
@@ -150,7 +156,7 @@ def judge(pairs: DataFrame, words: DataFrame, dictionary: DataFrame, *, floor: i
     for side in ("a", "b"):
         counts = words.select("book_id", F.col("word").alias(side), F.col("n").alias(f"n{side}"))
         d = d.join(counts, ["book_id", side], "left").withColumn(f"n{side}", F.coalesce(f"n{side}", F.lit(0)))
-        d = _with_words(d, side, dictionary, f"is_{side}")
+        d = with_known(d, side, dictionary, f"is_{side}")
     lex = F.when((F.col("na") >= floor) & (F.col("nb") == 0), F.col("ours")).when((F.col("nb") >= floor) & (F.col("na") == 0), F.col("theirs"))
     dic = F.when(F.col("is_a") & ~F.col("is_b") & (F.col("na") >= dictionary_floor), F.col("ours")).when(F.col("is_b") & ~F.col("is_a") & (F.col("nb") >= dictionary_floor), F.col("theirs"))
     roman = T.is_roman(F.col("ours")) | T.is_roman(F.col("theirs"))
@@ -166,9 +172,13 @@ def judge(pairs: DataFrame, words: DataFrame, dictionary: DataFrame, *, floor: i
     return d.select(*pairs.columns, "rung", "winner")
 
 
-def pair_counts(judged: DataFrame) -> Column:
-    """How often the same two readings stand against each other in a book."""
-    return F.count(F.lit(1)).over(Window.partitionBy("book_id", "ours", "theirs"))
+def with_pair_counts(judged: DataFrame) -> DataFrame:
+    """Adds pair_count: how often the same two readings stand against each other in a book. Counts are combined before the
+    shuffle, so that a common pair is no hot group."""
+    counts = judged.groupBy("book_id", "ours", "theirs").agg(F.count(F.lit(1)).alias("pair_count"))
+    key = {c: f"{c}_of_pair" for c in ("book_id", "ours", "theirs")}
+    joined = judged.join(counts.withColumnsRenamed(key), [judged[c].eqNullSafe(F.col(k)) for c, k in key.items()])
+    return joined.drop(*key.values())
 
 
 def tiers(judged: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -178,7 +188,7 @@ def tiers(judged: DataFrame, dictionary: DataFrame) -> DataFrame:
     `confirmed` if it is the shipped word, `systematic` from 2 equal pairs, else `catches`. occurrence counts the same
     shipped token on its page from 0 in reading order.
     """
-    d = _with_words(judged.withColumn("f_", T.fold_word(F.col("ours"))), "f_", dictionary, "word_").withColumn("pair_count", pair_counts(judged))
+    d = with_known(with_pair_counts(judged).withColumn("f_", T.fold_word(F.col("ours"))), "f_", dictionary, "word_")
     undecided = F.when(F.col("pair_count") >= 4, "systematic").when(~F.col("word_"), "broken").otherwise("open")
     decided = F.when(F.col("winner") == F.col("ours"), "confirmed").when(F.col("pair_count") >= 2, "systematic").otherwise("catches")
     d = d.withColumn("tier", F.when(F.col("winner").isNull(), undecided).otherwise(decided))

@@ -16,18 +16,21 @@ DUPLICATE, BORDERLINE, PDF_FLOOR = 0.55, 0.35, 0.90
 def pair_scores(pages: DataFrame, *, window: int = WINDOW, k: int = SHINGLE_WORDS, min_shingles: int = MIN_SHINGLES) -> DataFrame:
     """(book_id, i, j, shared, score): overlap coefficient of page i with an earlier page j at most `window` before it.
 
-    Only pairs that share a shingle are given. Shingles are joined on (book, shingle, bucket of pages), so that a
-    shingle on very many pages meets only those near it, and a long book is spread over its buckets.
+    Only pairs that share a shingle are given. Pages are posted under (book, bucket of pages, shingle) and meet there, so
+    that a shingle on very many pages meets only those near it, and a long book is spread over its buckets.
     """
     # shingles travel as 64-bit hashes; a page has them distinct, so that counts of matches are counts of shingles
     # the generator keeps filters from copying the shingle expression
     hashed = F.transform(T.page_shingles(F.col("text"), k), lambda x: F.xxhash64(x))
     s = pages.select("book_id", F.col("page_index").alias("i"), F.explode(F.array(hashed)).alias("s")).withColumn("n", F.size("s")).where(F.col("n") >= min_shingles)
     own = F.floor(F.col("i") / window)
-    later = s.select("book_id", "i", F.col("n").alias("ni"), F.explode(F.array(own, own - 1)).alias("bucket"), "s").withColumn("shingle", F.explode("s")).drop("s")
-    earlier = s.select("book_id", F.col("i").alias("j"), F.col("n").alias("nj"), own.alias("bucket"), F.explode("s").alias("shingle"))
-    near = later.join(earlier, ["book_id", "bucket", "shingle"]).where((F.col("j") < F.col("i")) & (F.col("j") >= F.col("i") - window))
-    shared = near.groupBy("book_id", "i", "j", "ni", "nj").agg(F.count(F.lit(1)).alias("shared"))
+    # one posting list for each (book, bucket, shingle): the bucket's pages, and those of the next one as later pages only
+    page = F.named_struct(F.lit("i"), "i", F.lit("n"), "n", F.lit("own"), F.col("bucket") == own)
+    posted = s.select("book_id", "i", "n", "s", F.explode(F.array(own, own - 1)).alias("bucket")).select("book_id", "bucket", F.explode("s").alias("shingle"), page.alias("p"))
+    lists = posted.groupBy("book_id", "bucket", "shingle").agg(F.collect_list("p").alias("ps")).where(F.size("ps") > 1)  # at most 2 * window pages
+    first = lists.select("book_id", "ps", F.explode("ps").alias("a")).where("a.own")
+    near = first.select("book_id", "a", F.explode("ps").alias("b")).where((F.col("a.i") < F.col("b.i")) & (F.col("a.i") >= F.col("b.i") - window))
+    shared = near.groupBy("book_id", F.col("b.i").alias("i"), F.col("a.i").alias("j"), F.col("b.n").alias("ni"), F.col("a.n").alias("nj")).agg(F.count(F.lit(1)).alias("shared"))
     return shared.select("book_id", "i", "j", "shared", (F.col("shared") / F.least("ni", "nj")).alias("score"))
 
 
@@ -165,7 +168,9 @@ def coverage(pages: DataFrame, others: DataFrame, *, k: int = 6, min_words: int
 
     def sets(df: DataFrame) -> DataFrame:
         ws = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
-        return df.where(F.size(ws) >= min_words).select("book_id", "page_index", T.strict_shingles(F.col("text"), k).alias("s"))
+        # shingles travel as 64-bit hashes; a page has them distinct, so that counts of matches are counts of shingles
+        hashed = F.transform(T.strict_shingles(F.col("text"), k), lambda x: F.xxhash64(x))
+        return df.where(F.size(ws) >= min_words).select("book_id", "page_index", F.explode(F.array(hashed)).alias("s"))
 
     mine = sets(pages)
     theirs = sets(others).select(F.col("page_index").alias("other"), F.explode("s").alias("shingle"), "book_id")

@@ -203,7 +203,7 @@ def same_picture(a: Column, b: Column, least: float = 0.85) -> Column:
 
 def smaller_encoding(figures: DataFrame) -> DataFrame:
     """(book_id, page_index, name, format): the smaller of png_size and jpeg_size; PNG on ties."""
-    best = F.least(F.struct(F.col("png_size").alias("n"), F.lit(0).alias("p"), F.lit("png").alias("f")), F.struct(F.col("jpeg_size"), F.lit(1), F.lit("jpeg")))
+    best = F.least(F.struct(F.col("png_size").alias("n"), F.lit(0).alias("p"), F.lit("png").alias("f")), F.struct(F.col("jpeg_size").alias("n"), F.lit(1).alias("p"), F.lit("jpeg").alias("f")))
     return figures.select(*PAGE, "name", best["f"].alias("format"))
 
 

@@ -66,25 +66,19 @@ def page_words(pages: DataFrame) -> DataFrame:
     return pages.select("book_id", "page_index", F.explode(F.transform(T.tokens(F.col("text")), T.fold_word)).alias("word"))
 
 
-def within_two(a: str, b: str) -> bool:
-    """Levenshtein distance of at most 2."""
-    if abs(len(a) - len(b)) > 2:
-        return False
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1] <= 2
-
-
 def duels(difference: DataFrame) -> DataFrame:
     """(book_id, page_index, kind, ours, source, n) from bag_difference: `hyphen` repairs, word `duel`s, `surplus`es.
 
     First a word of ours that is two words of the source set together (at a cut two letters or more from either end)
     takes both out. Then the sorted leftovers are paired greedily within an edit distance of 2; the source word has more
-    than three letters. The rest are surpluses.
+    than three letters. The rest are surpluses. Close words are found by a join on page and length; the fold has only
+    their names.
     """
+    page, side = ["book_id", "page_index"], lambda s: difference.where(F.col("side") == s)
+    theirs = side("source").where(F.length("word") > 3).select(*page, F.col("word").alias("other"), F.explode(F.sequence(F.greatest(F.length("word") - 2, F.lit(0)), F.length("word") + 2)).alias("size"))
+    close = side("ours").withColumn("size", F.length("word")).join(theirs, [*page, "size"]).where(F.levenshtein("word", "other", 2) >= 0)
+    close = close.groupBy(*page, "word").agg(F.array_sort(F.collect_list("other")).alias("close")).withColumn("side", F.lit("ours"))
+    difference = difference.join(close, [*page, "word", "side"], "left")
 
     def fight(pdf):
         left = {s: {r.word: r.n for r in pdf[pdf["side"] == s].itertuples()} for s in ("ours", "source")}
@@ -96,9 +90,10 @@ def duels(difference: DataFrame) -> DataFrame:
                     for bag, k in ((a, w), (b, x), (b, y)):
                         bag[k] -= 1
                     out.append(("hyphen", w, f"{x} {y}", 1))
-        for w in sorted(x for x in a if a[x]):
-            for v in sorted(x for x in b if b[x] and len(x) > 3):
-                if a[w] and b[v] and within_two(w, v):
+        near = {r.word: r.close for r in pdf[pdf["side"] == "ours"].itertuples() if r.close is not None}
+        for w in sorted(x for x in near if a[x]):
+            for v in near[w]:
+                if a[w] and b[v]:
                     n = min(a[w], b[v])
                     a[w], b[v] = a[w] - n, b[v] - n
                     out.append(("duel", w, v, n))

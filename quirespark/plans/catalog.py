@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from ..functions import geometry as G
 from ..functions import stats
 from ..functions import text as T
-from ..operators import adjudicate, dedupe, folios, layout, reading, segments, typography, verify
+from ..operators import adjudicate, dedupe, folios, layout, native, reading, segments, typography, verify
 from ..sources import images
 
 QUERIES: dict = {}
@@ -39,7 +39,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def book_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    return d.select(F.col("source").alias("book_id"), (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).cast("long").alias("page_index"), "text")
+    # only ids are sorted by book; texts are joined to their numbers afterwards
+    number = (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).cast("long").alias("page_index")
+    return d.select("doc_id", "text").join(d.select("doc_id", F.col("source").alias("book_id"), number), "doc_id").select("book_id", "page_index", "text")
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,20 +125,20 @@ _OTSU = """o AS (SELECT k, x, row_number() OVER (PARTITION BY k ORDER BY x) AS r
     m AS (SELECT *, max(sb) OVER (PARTITION BY k) AS best FROM g), p AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY nx - x DESC, x) AS pick FROM m WHERE sb >= best - 1e-12)"""
 
 
-@query(f"WITH v AS (SELECT user_id AS k, value AS x FROM events), {_OTSU} SELECT k AS video_id, round((x + nx) / 2, 4) AS threshold FROM p WHERE pick = 1")
+@query(f"WITH v AS (SELECT user_id AS k, value AS x FROM events), {_OTSU} SELECT user_id AS video_id, CASE WHEN count(*) < 2 OR max(value) - min(value) < 1e-9 THEN CAST('inf' AS DOUBLE) ELSE round(any_value((p.x + p.nx) / 2), 4) END AS threshold FROM events LEFT JOIN p ON p.k = user_id AND pick = 1 GROUP BY 1")
 def otsu_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # keys with one value have the empty threshold; the driver's users all have more
-    return segments.motion_threshold(frames(spark, sf_dir)).where("threshold < double('infinity')").select("video_id", F.round("threshold", 4).alias("threshold"))
+    cut = segments.motion_threshold(frames(spark, sf_dir))
+    return cut.select("video_id", F.when(F.col("threshold") < float("inf"), F.round("threshold", 4)).otherwise(F.col("threshold")).alias("threshold"))
 
 
 @query(
     f"""WITH v AS (SELECT user_id AS k, log10(value) AS x FROM events WHERE value > 0), {_OTSU}, cut AS (SELECT k, (x + nx) / 2 AS th FROM p WHERE pick = 1),
     b AS (SELECT v.k, any_value(th) AS th, max(CASE WHEN x < th THEN x END) AS lo, min(CASE WHEN x >= th THEN x END) AS hi FROM v JOIN cut USING (k) GROUP BY 1)
-    SELECT k AS user_id, round(power(10, th), 4) AS threshold FROM b WHERE power(10, hi) >= 3 * power(10, lo)"""
+    SELECT u.user_id, CASE WHEN power(10, hi) >= 3 * power(10, lo) THEN round(power(10, th), 4) ELSE CAST('-inf' AS DOUBLE) END AS threshold FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN b ON b.k = u.user_id"""
 )
 def cluster_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = stats.cluster_cut(table(spark, sf_dir, "events"), ["user_id"], "value")
-    return cut.where("threshold > 0").select("user_id", F.round("threshold", 4).alias("threshold"))
+    return cut.select("user_id", F.when(F.col("threshold") > 0, F.round("threshold", 4)).otherwise(F.col("threshold")).alias("threshold"))
 
 
 @query(
@@ -148,12 +150,12 @@ def picture_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH e AS (SELECT vec_id, list_transform(list_slice(embedding, 1, 8), lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), m AS (SELECT vec_id, e, list_sum(e) / len(e) AS m FROM e),
+    """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), m AS (SELECT vec_id, e, list_sum(e) / len(e) AS m FROM e),
     s AS (SELECT vec_id, array_to_string(list_transform(e, lambda x: CASE WHEN x > m THEN '1' ELSE '0' END), '') AS sig FROM m)
     SELECT sig, count(*) AS names, count(DISTINCT vec_id) AS pages FROM s WHERE sig LIKE '%1%' GROUP BY 1 HAVING count(*) >= 3"""
 )
 def repeated_artwork(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "embeddings").select(F.lit("all").alias("book_id"), F.col("vec_id").alias("page_index"), F.col("vec_id").alias("name"), F.slice("embedding", 1, 8).alias("pixels"))
+    d = table(spark, sf_dir, "embeddings").select(F.lit("all").alias("book_id"), F.col("vec_id").alias("page_index"), F.col("vec_id").alias("name"), F.col("embedding").alias("pixels"))
     return layout.image_furniture(d).drop("book_id")
 
 
@@ -167,7 +169,13 @@ def sparse_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.sparse_pages(book_pages(spark, sf_dir))
 
 
-@query()
+@query(
+    f"""WITH {_PAGES}, w AS (SELECT book_id, page_index, {_WORDS} AS ws FROM pages_), l AS (SELECT *, len(ws) AS words, array_to_string(ws, '') AS squashed FROM w),
+    n AS (SELECT *, lag(words, 2) OVER q AS a, lag(words, 1) OVER q AS b, lead(words, 1) OVER q AS c, lead(words, 2) OVER q AS d FROM l WINDOW q AS (PARTITION BY book_id ORDER BY page_index)),
+    m AS (SELECT *, list_median(list_filter([a, b, c, d], lambda x: x IS NOT NULL)) AS m FROM n), i AS (SELECT book_id, page_index, list_filter(ws, lambda x: length(x) >= 4) AS stubs FROM m WHERE m >= 60 AND words < 0.5 * m),
+    s AS (SELECT i.book_id, i.page_index, l.page_index AS match, len(list_filter(stubs, lambda x: contains(squashed, x))) / len(stubs) AS share FROM i JOIN l ON l.book_id = i.book_id AND l.page_index BETWEEN i.page_index - 2 AND i.page_index + 2 AND l.page_index <> i.page_index WHERE len(stubs) >= 5 AND length(squashed) >= 200),
+    r AS (SELECT *, row_number() OVER (PARTITION BY book_id, page_index ORDER BY share DESC, match) AS k FROM s WHERE share >= 0.7) SELECT book_id, page_index, match, share FROM r WHERE k = 1"""
+)
 def page_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.page_turns(book_pages(spark, sf_dir))
 
@@ -287,7 +295,7 @@ _DISPUTES = f"""tw AS (SELECT CAST(conv_id % 5 AS VARCHAR) AS book_id, conv_id *
     dict AS (SELECT DISTINCT unnest({_ASCII}) AS word FROM benchmark)"""
 _LEMMAS = " OR ".join(f"(suffix(w, '{s}') AND length(w) > {len(s) + 2} AND left(w, length(w) - {len(s)}) || '{a}' IN (SELECT word FROM dict))" for s, a in T.INFLECTIONS)
 _IS_WORD = f"w IN ({', '.join(repr(x) for x in (*T.APPARATUS, 'a', 'i', 'o'))}) OR (length(w) > 1 AND (w IN (SELECT word FROM dict) OR {_LEMMAS}))"
-_ROMAN = "(length(w) >= 2 AND regexp_matches(upper(w), '^M{0,3}(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})$'))"
+_ROMAN = "(length(w) >= 2 AND regexp_matches(upper(w), '^M{0,4}(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})$'))"
 
 
 def turn_disputes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -339,14 +347,14 @@ def box_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), i AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) - 1 AS item_index, ls FROM l), t AS (SELECT doc_id, item_index, CASE WHEN item_index % 3 = 0 AND (item_index = 0 OR doc_id % 2 = 0) THEN concat(doc_id % 400, ' • ', left(ls[item_index + 1], 20)) ELSE ls[item_index + 1] END AS s FROM i),
+    r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), i AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) - 1 AS item_index, ls FROM l), t AS (SELECT doc_id, item_index, CASE WHEN item_index % 3 = 0 AND (item_index = 0 OR doc_id % 2 = 0) THEN concat(doc_id % 400, ' • ', ls[item_index + 1]) ELSE ls[item_index + 1] END AS s FROM i),
     h AS (SELECT *, CASE WHEN length(trim(s)) BETWEEN 1 AND 60 AND (regexp_matches(trim(s), '^\s*(?:[0-9]{1,3}\s*[•·|:]|[0-9]{1,3}\s*$)') OR regexp_matches(trim(s), '[•·|:]\s*[0-9]{1,3}\s*$')) THEN 1 ELSE 0 END AS h FROM t),
     g AS (SELECT doc_id, item_index, greatest(min(h) OVER (PARTITION BY doc_id ORDER BY item_index), min(h) OVER (PARTITION BY doc_id ORDER BY item_index DESC)) AS gone FROM h)
     SELECT doc_id AS page_index, item_index FROM g WHERE gone = 0"""
 )
 def running_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select(F.lit("all").alias("book_id"), F.col("doc_id").alias("page_index"), F.posexplode(F.split("text", "\n")).alias("item_index", "s"))
-    marked = F.when((F.col("item_index") % 3 == 0) & ((F.col("item_index") == 0) | (F.col("page_index") % 2 == 0)), F.concat((F.col("page_index") % 400).cast("string"), F.lit(" • "), F.left("s", F.lit(20)))).otherwise(F.col("s"))
+    marked = F.when((F.col("item_index") % 3 == 0) & ((F.col("item_index") == 0) | (F.col("page_index") % 2 == 0)), F.concat((F.col("page_index") % 400).cast("string"), F.lit(" • "), F.col("s"))).otherwise(F.col("s"))
     items = d.select("book_id", "page_index", F.col("item_index").cast("long").alias("item_index"), marked.alias("html"), F.lit(False).alias("is_figure"), F.lit(False).alias("is_caption"))
     return layout.strip_running_heads(items).select("page_index", "item_index")
 
@@ -373,27 +381,43 @@ def reading_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    r"""WITH d AS (SELECT source AS book_id, doc_id, regexp_extract(text, '^([A-Za-z]{4,})', 1) AS w, lead(regexp_extract(text, '^[A-Za-z]*?([a-z]{2,4})[ .,]', 1)) OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents)
-    SELECT book_id, doc_id AS page_index, w AS stem, r AS rest FROM d WHERE w <> '' AND r <> ''"""
+    f"""WITH {_PAGES}, b AS (SELECT book_id, page_index, CASE WHEN page_index % 3 = 0 THEN regexp_replace(text, '[^A-Za-z]+$', '') || '-' ELSE lower(text) END AS body FROM pages_),
+    c AS (SELECT book_id, page_index, lead(page_index) OVER q AS next_page, regexp_extract(body, '([A-Za-z]+)-\\s*$', 1) AS stem, regexp_extract(coalesce(lead(body) OVER q, ''), '^\\s*([a-z][A-Za-z''’]*[.,;:!?''’"]*)', 1) AS rest FROM b WINDOW q AS (PARTITION BY book_id ORDER BY page_index)),
+    t AS (SELECT book_id, unnest({_TOKENS.replace('{}', 'trim(body)')}) AS w FROM b), k AS (SELECT DISTINCT book_id, {_FOLD.format('w')} AS word FROM t),
+    x AS (SELECT *, {_FOLD.format("(stem || regexp_replace(rest, '[.,;:!?''’]+$', ''))")} AS word FROM c WHERE stem <> '' AND rest <> '')
+    SELECT book_id, page_index, next_page, stem, rest, CASE WHEN k.word IS NULL THEN 'refused' ELSE 'joined' END AS status FROM x LEFT JOIN k USING (book_id, word)"""
 )
 def page_end_hyphens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    body = F.concat(F.regexp_extract("text", r"^[A-Za-z]*?([a-z]{2,4})[ .,]", 1), F.lit(" ... "), F.regexp_extract("text", r"^([A-Za-z]{4,})", 1), F.lit("-"))
-    found = typography.page_hyphens(d.select(F.col("source").alias("book_id"), F.col("doc_id").alias("page_index"), body.alias("body")))
-    return found.select("book_id", "page_index", "stem", "rest")
+    cut = F.concat(F.regexp_replace("text", r"[^A-Za-z]+\z", ""), F.lit("-"))
+    return typography.page_hyphens(book_pages(spark, sf_dir).select("book_id", "page_index", F.when(F.col("page_index") % 3 == 0, cut).otherwise(F.lower("text")).alias("body")))
 
 
-@query(f"WITH {_PAGES}, w AS (SELECT book_id, len(regexp_extract_all(lower(text), '[a-z]+')) AS n, page_index FROM pages_) SELECT book_id, CAST(sum(CASE WHEN page_index % 5 = 0 THEN 0 ELSE n END) AS BIGINT) AS our_words, CAST(sum(n) AS BIGINT) AS source_words FROM w GROUP BY 1")
-def verify_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+_HOLES = f"""{_PAGES}, sw AS (SELECT *, regexp_extract_all(lower(text), '[a-z]+') AS ws, regexp_extract_all(lower(text), '[a-z0-9]+') AS gs FROM pages_),
+    mi AS (SELECT *, len(ws) AS n_words, len(list_filter(ws, lambda x: length(x) > 2)) AS n_real FROM sw WHERE len(ws) >= 25 AND page_index % 5 = 0),
+    sh AS (SELECT book_id, page_index, list_distinct(list_transform(range(1, len(gs) - 4), lambda i: array_to_string(list_slice(gs, i, i + 5), ' '))) AS s FROM sw WHERE len(gs) >= 25),
+    es AS (SELECT book_id, page_index, len(s) AS n, unnest(s) AS g FROM sh), hi AS (SELECT a.book_id, a.page_index, b.page_index AS other, count(*) AS k, any_value(a.n) AS n FROM es a JOIN es b ON a.book_id = b.book_id AND a.g = b.g AND a.page_index % 5 = 0 AND b.page_index % 5 <> 0 GROUP BY 1, 2, 3),
+    be AS (SELECT *, row_number() OVER (PARTITION BY book_id, page_index ORDER BY k DESC, other) AS r FROM hi),
+    ho AS (SELECT mi.book_id, mi.page_index, n_words, n_real, coalesce(k / n, 0) AS coverage, other AS covered_by, CASE WHEN coalesce(k / n, 0) >= 0.75 THEN 'rescanned' ELSE 'hole' END AS status FROM mi LEFT JOIN be ON be.book_id = mi.book_id AND be.page_index = mi.page_index AND r = 1 WHERE n_real >= greatest(8, n_words // 4))"""
+
+
+def gutted_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(pages of which every fifth is empty, whole pages)."""
     source = book_pages(spark, sf_dir)
-    ours = source.withColumn("text", F.when(F.col("page_index") % 5 == 0, "").otherwise(F.col("text")))
-    return verify.verdict(ours, source, verify.holes(ours, source)).select("book_id", "our_words", "source_words")
+    return source.withColumn("text", F.when(F.col("page_index") % 5 == 0, "").otherwise(F.col("text"))), source
 
 
-@query()
+@query(f"WITH {_HOLES} SELECT * FROM ho")
 def verify_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = book_pages(spark, sf_dir)
-    return verify.holes(source.withColumn("text", F.when(F.col("page_index") % 5 == 0, "").otherwise(F.col("text"))), source)
+    return verify.holes(*gutted_pages(spark, sf_dir))
+
+
+@query(
+    f"""WITH {_HOLES}, to_ AS (SELECT book_id, CAST(sum(CASE WHEN page_index % 5 = 0 THEN 0 ELSE len(ws) END) AS BIGINT) AS our_words, CAST(sum(len(ws)) AS BIGINT) AS source_words FROM sw GROUP BY 1), hc AS (SELECT book_id, count(*) AS n FROM ho WHERE status = 'hole' GROUP BY 1)
+    SELECT book_id, our_words, source_words, our_words / source_words AS ratio, coalesce(n, 0) AS holes, CASE WHEN n > 0 THEN 1 ELSE 0 END AS exit_code FROM to_ LEFT JOIN hc USING (book_id)"""
+)
+def verify_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ours, source = gutted_pages(spark, sf_dir)
+    return verify.verdict(ours, source, verify.holes(ours, source))
 
 
 _JUDGED = ORACLES["review_tiers"].rsplit("SELECT book_id, page_index, seq, ours", 1)[0].rstrip()
@@ -406,15 +430,17 @@ def rung_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""{_JUDGED}, tr AS (SELECT DISTINCT CAST(conv_id % 5 AS VARCHAR) AS book_id, conv_id * 100 + turn - 1 AS page_index, unnest({_ASCII}) AS word FROM conversations),
-    tj AS (SELECT wi.*, a.word IS NOT NULL AS ta, b.word IS NOT NULL AS tb FROM wi LEFT JOIN tr a ON a.book_id = wi.book_id AND a.page_index = wi.page_index AND a.word = ours LEFT JOIN tr b ON b.book_id = wi.book_id AND b.page_index = wi.page_index AND b.word = theirs),
-    oc AS (SELECT rung, CASE WHEN winner IS NULL THEN CASE WHEN ta <> tb THEN 's' ELSE 't' END WHEN CASE WHEN winner = ours THEN ta AND NOT tb ELSE tb AND NOT ta END THEN 'r' WHEN CASE WHEN winner = ours THEN tb AND NOT ta ELSE ta AND NOT tb END THEN 'w' ELSE 'u' END AS o FROM tj)
-    SELECT 0 AS floor, rung, count(CASE WHEN o = 'r' THEN 1 END) AS "right", count(CASE WHEN o = 'w' THEN 1 END) AS wrong, count(CASE WHEN o = 'u' THEN 1 END) AS unjudgeable, count(CASE WHEN o = 's' THEN 1 END) AS settleable, count(CASE WHEN o = 't' THEN 1 END) AS truly_open FROM oc GROUP BY rung"""
+    fl AS (SELECT unnest([0, 1, 2]) AS floor), wf AS (SELECT wi.* REPLACE (CASE WHEN rung = 'dictionary' AND CASE WHEN wa THEN na ELSE nb END < floor THEN 'abstain' ELSE rung END AS rung, CASE WHEN rung = 'dictionary' AND CASE WHEN wa THEN na ELSE nb END < floor THEN NULL ELSE winner END AS winner), floor FROM wi, fl),
+    tj AS (SELECT wi.*, a.word IS NOT NULL AS ta, b.word IS NOT NULL AS tb FROM wf wi LEFT JOIN tr a ON a.book_id = wi.book_id AND a.page_index = wi.page_index AND a.word = ours LEFT JOIN tr b ON b.book_id = wi.book_id AND b.page_index = wi.page_index AND b.word = theirs),
+    oc AS (SELECT floor, rung, CASE WHEN winner IS NULL THEN CASE WHEN ta <> tb THEN 's' ELSE 't' END WHEN CASE WHEN winner = ours THEN ta AND NOT tb ELSE tb AND NOT ta END THEN 'r' WHEN CASE WHEN winner = ours THEN tb AND NOT ta ELSE ta AND NOT tb END THEN 'w' ELSE 'u' END AS o FROM tj)
+    SELECT floor, rung, count(CASE WHEN o = 'r' THEN 1 END) AS "right", count(CASE WHEN o = 'w' THEN 1 END) AS wrong, count(CASE WHEN o = 'u' THEN 1 END) AS unjudgeable, count(CASE WHEN o = 's' THEN 1 END) AS settleable, count(CASE WHEN o = 't' THEN 1 END) AS truly_open FROM oc GROUP BY floor, rung"""
 )
 def rung_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the next turn stands for the true page
     ws = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
     truth = table(spark, sf_dir, "conversations").select((F.col("conv_id") % 5).cast("string").alias("book_id"), (F.col("conv_id") * 100 + F.col("turn") - 1).alias("page_index"), F.explode(ws).alias("word"))
-    return adjudicate.calibrate({0: adjudicate.judge(*turn_disputes(spark, sf_dir))}, truth)
+    disputes = turn_disputes(spark, sf_dir)
+    return adjudicate.calibrate({floor: adjudicate.judge(*disputes, dictionary_floor=floor) for floor in (0, 1, 2)}, truth)
 
 
 @query(f"WITH {_DISPUTES} SELECT book_id, page_index, seq, ours, theirs FROM ds WHERE ours <> theirs AND length(theirs) > 3 AND levenshtein(ours, theirs) <= 2")
@@ -432,16 +458,159 @@ def outlying_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.outlying_pages(d.select(F.col("source").alias("book_id"), F.col("doc_id").alias("page_index"), (F.col("n_chars") % 97 / 97).alias("skin"), ((F.col("n_chars") % 7 + 1) / 4).alias("ratio")))
 
 
-@query()
+@query(
+    f"""WITH {_FRAMES}, e AS (SELECT *, (event_id * 7919 % 1000) / 10 - 5 AS score, event_id % 5 <> 0 AS seen, lead(motion) OVER (PARTITION BY video_id ORDER BY frame_idx) AS out_, sum(CASE WHEN motion < 60 THEN 0 ELSE 1 END) OVER (PARTITION BY video_id ORDER BY frame_idx) AS g FROM f),
+    a AS (SELECT *, greatest(motion, coalesce(out_, motion)) AS still, count(*) OVER (PARTITION BY video_id, g) AS n FROM e WHERE motion < 60), b AS (SELECT *, row_number() OVER (PARTITION BY video_id, g ORDER BY frame_idx) - 1 AS pos, row_number() OVER (PARTITION BY video_id, g ORDER BY score DESC, frame_idx) AS by_score, row_number() OVER (PARTITION BY video_id, g ORDER BY still, frame_idx) AS by_still FROM a WHERE n >= 3),
+    c AS (SELECT *, CASE WHEN NOT (score > 0 AND seen) THEN 4 WHEN by_score <= {segments.CANDIDATES} AND still < {segments.QUIET_GATE} THEN 0 WHEN by_still <= {segments.QUIET_POOL} THEN 1 WHEN pos > {segments.SETTLE} THEN 2 WHEN by_score <= {segments.CANDIDATES} THEN 3 ELSE 4 END AS k FROM b),
+    d AS (SELECT *, row_number() OVER (PARTITION BY video_id, g ORDER BY k, CASE WHEN k <= 1 THEN still ELSE -score END, frame_idx) AS choice FROM c)
+    SELECT video_id, dense_rank() OVER (PARTITION BY video_id ORDER BY g) - 1 AS run, frame_idx, ['steady', 'quiet', 'settled', 'candidates', 'any'][k + 1] AS pool FROM d WHERE choice = 1"""
+)
 def best_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = frames(spark, sf_dir).withColumn("score", F.pmod(F.xxhash64("event_id"), F.lit(1000)) / 10).withColumn("detectable", F.col("event_id") % 5 != 0)
+    f = frames(spark, sf_dir).withColumn("score", F.col("event_id") * 7919 % 1000 / 10 - 5).withColumn("detectable", F.col("event_id") % 5 != 0)
     return segments.best_frames(f, 60.0)
 
 
-@query("SELECT l_partkey % 99 + 1 AS n, l_orderkey % 20 AS k, count(*) AS uses FROM lineitem WHERE l_linenumber > 1 GROUP BY 1, 2")
+@query("SELECT l_partkey % 99 + 1 AS n, l_orderkey % 20 AS k, count(*) AS uses FROM lineitem GROUP BY 1, 2")
 def roman_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     tens, units = ["", "X", "XX", "XXX", "XL", "L", "LX", "LXX", "LXXX", "XC"], ["", "I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX"]
     n = F.col("l_partkey") % 99 + 1
     roman = F.concat(F.get(F.lit(tens), F.floor(n / 10).cast("int")), F.get(F.lit(units), (n % 10).cast("int")))
-    d = table(spark, sf_dir, "lineitem").where("l_linenumber > 1").select(T.roman_to_int(roman).cast("long").alias("n"), (F.col("l_orderkey") % 20).alias("k"))
+    d = table(spark, sf_dir, "lineitem").select(T.roman_to_int(roman).cast("long").alias("n"), (F.col("l_orderkey") % 20).alias("k"))
     return d.groupBy("n", "k").agg(F.count(F.lit(1)).alias("uses"))
+
+
+# ---- structure and layout
+
+
+#: Boxes on a grid of powers of two, so that areas are exact in either engine.
+_GRID = _BOX.format(p="l_partkey", s="l_suppkey").replace("/ 100", "/ 128").replace("/ 40", "/ 32")
+_BOXED = f"bx AS (SELECT l_orderkey, l_linenumber, {_GRID} FROM lineitem), ar AS (SELECT *, (x1 - x0) * (y1 - y0) AS area FROM bx)"
+_IOU = "greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) / (a.area + b.area - greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0))"
+
+
+def boxes(spark: SparkSession, sf_dir: str, odd: bool) -> DataFrame:
+    """Order lines as boxes of a page: the odd ones are artwork, the even ones figures."""
+    li = table(spark, sf_dir, "lineitem").where(F.col("l_linenumber") % 2 == int(odd)).selectExpr("'all' AS book_id", "l_orderkey AS page_index", "l_linenumber AS n", *[x.strip() for x in _GRID.split(",")])
+    return li.select("book_id", "page_index", "n", G.box(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")).alias("box"))
+
+
+@query(
+    f"""WITH {_BOXED}, j AS (SELECT a.l_orderkey AS page_index, a.l_linenumber AS name, b.l_linenumber AS image_index, {_IOU} AS iou FROM ar a JOIN ar b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber % 2 = 0 AND b.l_linenumber % 2 = 1),
+    r AS (SELECT *, row_number() OVER (PARTITION BY page_index, name ORDER BY iou DESC, image_index) AS k FROM j WHERE iou >= 0.6) SELECT page_index, name, image_index, round(iou, 6) AS iou FROM r WHERE k = 1"""
+)
+def better_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    figures, images = boxes(spark, sf_dir, False).withColumnRenamed("n", "name"), boxes(spark, sf_dir, True).withColumnRenamed("n", "image_index")
+    return layout.better_figures(figures, images).select("page_index", "name", "image_index", F.round("iou", 6).alias("iou"))
+
+
+@query(
+    f"""WITH {_BOXED}, h AS (SELECT DISTINCT b.l_orderkey, b.l_linenumber FROM ar a JOIN ar b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber % 2 = 0 AND b.l_linenumber % 2 = 1 WHERE {_IOU} >= 0.25)
+    SELECT l_orderkey AS page_index, l_linenumber AS image_index FROM ar WHERE l_linenumber % 2 = 1 AND area BETWEEN 0.02 AND 0.9 AND NOT EXISTS (SELECT 1 FROM h WHERE h.l_orderkey = ar.l_orderkey AND h.l_linenumber = ar.l_linenumber)"""
+)
+def orphan_artwork(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = boxes(spark, sf_dir, True).withColumnRenamed("n", "image_index")
+    return layout.orphan_artwork(images, boxes(spark, sf_dir, False), known=0.25).select("page_index", "image_index")
+
+
+_ITEMS = """it AS (SELECT l_orderkey AS page_index, l_linenumber AS item_index, CASE l_partkey % 3 WHEN 0 THEN concat('<p>', l_partkey, '</p>') WHEN 1 THEN concat('<math>', l_suppkey, '</math>') ELSE concat('<p>', l_suppkey, '<br/></p>', CASE WHEN l_partkey % 7 = 0 THEN '<hr/>' ELSE '' END) END AS html,
+    CASE l_suppkey % 4 WHEN 0 THEN 'Footnote' WHEN 1 THEN 'Formula' ELSE 'Text' END AS label, l_returnflag = 'R' AS furniture FROM lineitem)"""
+
+
+def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    html = F.expr("CASE l_partkey % 3 WHEN 0 THEN concat('<p>', l_partkey, '</p>') WHEN 1 THEN concat('<math>', l_suppkey, '</math>') ELSE concat('<p>', l_suppkey, '<br/></p>', CASE WHEN l_partkey % 7 = 0 THEN '<hr/>' ELSE '' END) END")
+    label = F.expr("CASE l_suppkey % 4 WHEN 0 THEN 'Footnote' WHEN 1 THEN 'Formula' ELSE 'Text' END")
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(F.lit("all").alias("book_id"), F.col("l_orderkey").alias("page_index"), F.col("l_linenumber").alias("item_index"), html.alias("html"), label.alias("label"), (F.col("l_returnflag") == "R").alias("is_furniture"))
+
+
+@query(
+    f"""WITH {_ITEMS}, b AS (SELECT *, row_number() OVER (PARTITION BY page_index ORDER BY item_index) AS o, min(CASE WHEN label = 'Footnote' THEN item_index END) OVER (PARTITION BY page_index) AS first, bool_or(html LIKE '%<hr/>%') OVER (PARTITION BY page_index) AS ruled FROM it WHERE NOT furniture),
+    h AS (SELECT page_index, item_index, CASE WHEN item_index = first AND NOT ruled THEN '<hr/>' ELSE '' END || CASE WHEN label = 'Formula' THEN replace(html, '<math', '<math display="block"') ELSE html END AS h FROM b) SELECT page_index, string_agg(h, chr(10) ORDER BY item_index, h) AS body FROM h GROUP BY 1"""
+)
+def body_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.assemble_bodies(order_items(spark, sf_dir)).select("page_index", "body")
+
+
+@query(f"WITH {_ITEMS}, t AS (SELECT page_index, item_index, trim(regexp_replace(replace(replace(html, '</p>', ' '), '<br/>', ' '), '<hr/>|<[^>]+>', CASE WHEN html LIKE '%<hr/>%' THEN '' ELSE '' END, 'g')) AS t FROM it WHERE NOT furniture) SELECT page_index, string_agg(t, ' ' ORDER BY item_index, t) AS text FROM t GROUP BY 1")
+def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.page_text(order_items(spark, sf_dir)).select("page_index", "text")
+
+
+@query(f"WITH {_ITEMS} SELECT page_index, CAST(item_index AS BIGINT) AS pos, trim(regexp_replace(replace(replace(html, '</p>', ' '), '<br/>', ' '), '<[^>]+>', '', 'g')) AS text FROM it WHERE furniture")
+def furniture_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.split_furniture(order_items(spark, sf_dir))[1].select("page_index", F.col("pos").cast("long").alias("pos"), "text")
+
+
+@query(
+    f"""WITH p AS ({ORACLES["folio_parse"]}), n AS (SELECT CAST(o_custkey % 20 AS VARCHAR) AS book_id, o.o_orderkey AS page_index, {_LINES} AS text, p.folio AS number FROM orders o JOIN p USING (o_orderkey))
+    SELECT book_id, page_index, number, text, number IS NOT NULL AND count(number) OVER (PARTITION BY book_id, number) <= {folios.REPEATS} AS confident FROM n"""
+)
+def furniture_folios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 20).cast("string").alias("book_id"), F.col("o_orderkey").alias("page_index"), F.lit(0).alias("pos"), F.expr(_LINES).alias("text"))
+    return folios.folios_from_furniture(lines)
+
+
+@query("WITH i AS (SELECT l_suppkey AS book_id, l_linenumber * 3 + l_partkey % 3 AS page_index, l_discount * 10 + 0.3 AS share FROM lineitem), p AS (SELECT book_id, page_index, max(share) AS share FROM i WHERE page_index < 12 GROUP BY 1, 2) SELECT book_id, count(CASE WHEN share >= 0.9 THEN 1 END) > 6 AS scan FROM p GROUP BY 1")
+def scan_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    return verify.is_scan(li.select(F.col("l_suppkey").alias("book_id"), (F.col("l_linenumber") * 3 + F.col("l_partkey") % 3).alias("page_index"), (F.col("l_discount") * 10 + 0.3).alias("share")))
+
+
+@query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '\s+', ' ', 'g'), '[^a-z0-9 ]', '', 'g')) AS title FROM documents")
+def plain_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.norm_title(F.col("text")).alias("title"))
+
+
+@query(
+    f"""WITH p AS (SELECT doc_id, list_filter(regexp_split_to_array(rtrim(trim(text, ' '), ','), '\\s+'), lambda x: x <> '') AS p FROM documents)
+    SELECT doc_id, array_to_string(list_filter([p[-1], CASE WHEN len(p) > 1 AND rtrim(lower(p[-2]), '.') IN ({', '.join(repr(x) for x in T.PARTICLES)}) THEN p[-2] || ' ' || p[-1] END], lambda x: length(x) > 2), '|') AS forms FROM p"""
+)
+def surname_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.surname_forms(F.col("text")), "|").alias("forms"))
+
+
+@query(
+    f"""WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS w FROM conversations), b AS (SELECT w, regexp_replace(w, '^[.,;:]+|[.,;:]+$', '', 'g') AS b FROM t UNION ALL SELECT concat('M', 'MMM', repeat('C', k % 4), repeat('X', k % 5), 'IV'), concat('M', 'MMM', repeat('C', k % 4), repeat('X', k % 5), 'IV') FROM range(20) r(k))
+    SELECT w AS word, length(b) >= 2 AND (b = upper(b) OR b = lower(b)) AND regexp_matches(upper(b), '{T.ROMAN}') AS roman, count(*) AS n FROM b GROUP BY 1, 2"""
+)
+def roman_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ws = table(spark, sf_dir, "conversations").select(F.explode(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("word")).distinct()
+    made = spark.range(20).select(F.concat(F.lit("MMMM"), F.repeat(F.lit("C"), (F.col("id") % 4).cast("int")), F.repeat(F.lit("X"), (F.col("id") % 5).cast("int")), F.lit("IV")).alias("word"))
+    return ws.union(made).select("word", T.is_roman(F.col("word")).alias("roman")).groupBy("word", "roman").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), c AS (SELECT vec_id, list_transform(e, lambda x: x - list_sum(e) / len(e)) AS c FROM e),
+    p AS (SELECT a.vec_id, list_dot_product(a.c, b.c) / sqrt(list_dot_product(a.c, a.c) * list_dot_product(b.c, b.c)) AS r FROM c a JOIN c b ON b.vec_id = a.vec_id + 1) SELECT vec_id, coalesce(r >= 0.1, false) AS same FROM p"""
+)
+def same_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    after = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return e.join(after, "vec_id").select("vec_id", layout.same_picture(F.col("embedding"), F.col("other"), 0.1).alias("same"))
+
+
+@query(f"WITH c AS ({ORACLES['unusual_characters']}), r AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY n DESC, ch) AS k FROM c) SELECT book_id, ch, n FROM r WHERE k <= 8")
+def unusual_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return typography.report(unusual_characters(spark, sf_dir))
+
+
+@query("SELECT l_orderkey AS page_index, l_linenumber AS name, CASE WHEN l_quantity * 100 <= l_extendedprice / 10 THEN 'png' ELSE 'jpeg' END AS format FROM lineitem")
+def figure_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    sized = li.select(F.lit("all").alias("book_id"), F.col("l_orderkey").alias("page_index"), F.col("l_linenumber").alias("name"), (F.col("l_quantity") * 100).alias("png_size"), (F.col("l_extendedprice") / 10).alias("jpeg_size"))
+    return layout.smaller_encoding(sized).drop("book_id")
+
+
+@query(r"SELECT page_id AS page_index, 0 AS item_index, CASE WHEN page_id % 3 = 0 AND page_id % 40 >= 16 THEN 'crop' ELSE 'strip' END AS action FROM pages WHERE page_id % 2 = 0 OR page_id % 3 = 0")
+def placeholder_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    html = F.when(F.col("page_id") % 3 == 0, '<img alt="">').when(F.col("page_id") % 2 == 0, '<p>words <img alt=""></p>').otherwise('<p><img src="a.png"></p>')
+    items = table(spark, sf_dir, "pages").select(F.lit("all").alias("book_id"), F.col("page_id").alias("page_index"), F.lit(0).alias("item_index"), html.alias("html"), F.lit(40).alias("pixel_w"), (F.col("page_id") % 40).alias("pixel_h"))
+    return native.placeholder_figures(items).drop("book_id")
+
+
+@query(f"WITH dict AS (SELECT DISTINCT unnest({_ASCII}) AS word FROM benchmark), t AS (SELECT DISTINCT unnest({_ASCII}) AS w FROM conversations) SELECT w AS word, {_IS_WORD} AS known FROM t")
+def known_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ws = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    said = table(spark, sf_dir, "conversations").select(F.explode(ws).alias("word")).distinct()
+    dictionary = table(spark, sf_dir, "benchmark").select(F.explode(F.array_distinct(ws)).alias("word")).distinct()
+    return adjudicate.with_known(said, "word", dictionary, "known")

@@ -98,3 +98,15 @@ def test_duels(spark):
 def test_scan_vote(spark):
     d = spark.createDataFrame([("s", i, 0.95) for i in range(7)] + [("n", i, 0.95) for i in range(6)] + [("n", 20, 1.0)], "book_id string, page_index long, share double")
     assert {r.book_id: r.scan for r in V.is_scan(d).collect()} == {"s": True, "n": False}
+
+
+def test_only_fragments_with_a_hyphen_are_stitched(spark):
+    rows = [("b", 0, ["went", "in"], "into"), ("b", 1, ["to", "town"], None), ("c", 0, ["a", "mag-"], "magnet"), ("c", 1, ["9", "net", "x"], None), ("d", 0, ["--"], "x"), ("d", 1, ["x"], None)]
+    d = spark.createDataFrame(rows, "book_id string, page_index long, toks array<string>, shipped_last string")
+    got = {(r.book_id, r.page_index): r.toks for r in A.stitch_page_turns(d).collect()}
+    assert got == {("b", 0): ["went", "in"], ("b", 1): ["to", "town"], ("c", 0): ["a", "magnet"], ("c", 1): ["9", "x"], ("d", 0): ["--"], ("d", 1): ["x"]}
+
+
+def test_disputes_have_the_place_in_the_other_reading():
+    pairs, _ = A.align_pair("the quick brown fox".split(), "12 the quick brovvn fox".split())
+    assert pairs == [(3, "brown", "brovvn")]

@@ -156,3 +156,28 @@ def test_furniture_signatures(spark):
     assert [(r.sig, r.names) for r in layout.image_furniture(d).collect()] == [("010", 3)]
     two = spark.createDataFrame([([1.0, 2.0, 3.0], [2.0, 4.0, 6.5], [3.0, 1.0, 2.0])], "a array<double>, b array<double>, c array<double>")
     assert two.select(layout.same_picture(F.col("a"), F.col("b")), layout.same_picture(F.col("a"), F.col("c"))).first()[:] == (True, False)
+
+
+def test_quotes_open_only_where_they_may():
+    assert typography.requote("rock-'n'-roll ( ' ) 'Yes' \"'Tis\"") == "rock-’n’-roll ( ’ ) ‘Yes’ “’Tis”"
+    assert typography.requote("the '90s '(a) (\"b\")") == "the ’90s ’(a) (“b”)"
+
+
+def test_inline_mathematics_becomes_letters():
+    assert typography.plain_math(r"\alpha\,x \mathrm{MeO}\mathit{n}\text{\beta} \Delta\foo") == "α,x MeOnβ Δfoo"
+
+
+def test_titles_and_surnames(spark):
+    from quirespark.functions import text as T
+
+    d = spark.createDataFrame([("It's  A Title!", "Vincent Van Gogh,"), ("x-y", "Ng"), (None, "Ludwig  v. Mises"), ("", "Charles de Gaulle")], "t string, n string")
+    got = [(r.a, r.b) for r in d.select(T.norm_title(F.col("t")).alias("a"), T.surname_forms(F.col("n")).alias("b")).collect()]
+    assert got == [("its a title", ["Gogh", "Van Gogh"]), ("xy", []), ("", ["Mises"]), ("", ["Gaulle", "de Gaulle"])]
+    words = spark.createDataFrame([("MMMMCXIV",), ("mmmm",), ("MMMMM",), ("Iv",)], "w string")
+    assert [r[0] for r in words.select(T.is_roman(F.col("w"))).collect()] == [True, True, False, False]
+
+
+def test_title_citations_are_linked(spark):
+    pages = book(spark, ["<p>Lee, <i>On Rivers</i>, 4. Kim, <i>On Lakes</i>.</p>", "<h1>Bibliography</h1><p>Lee, Ann. <i>On Rivers and Streams</i>. 1999.</p>"])
+    out = [r.body for r in citations.link_title_citations(pages).orderBy("page_index").collect()]
+    assert '<a href="page_0002.xhtml#' in out[0] and out[0].count("<a ") == 1 and "<i>On Rivers</i></a>" in out[0] and 'id="' in out[1]
