@@ -26,8 +26,8 @@ from pyspark.sql.window import Window
 from .common import Workspace, column_name
 from .kernel import Words, iter_words, mix, separators, shingle_hashes
 
-#: Bits of the bit table for each seed, and the power of two that bounds the table (16 MB).
-BITS_PER_SEED, MOST_BITS = 16, 27
+#: Bits of the bit table for each seed, so that few other runs pass, and the power of two that bounds the table (16 MB).
+BITS_PER_SEED, MOST_BITS = 1024, 27
 
 
 def runs(item: np.ndarray, places: np.ndarray, seeds: np.ndarray, min_match: int) -> Iterator[tuple[int, int, int]]:
