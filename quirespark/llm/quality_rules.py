@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import let, words
+from .common import Workspace, let, words
 
 _SEP = r"[\x20\x09-\x0D]"
 #: Classes of characters in words: lower-case letters, other letters, digits, sentence punctuation, other ASCII marks, the rest.
@@ -55,14 +55,18 @@ def fit_references(docs: DataFrame, *, text_col: str = "text", lang_col: str = "
     fewer than least_words words have no reference; of the others, the `languages` with most words have one. Ties go to
     the smaller word or language. An empty table has none. `languages` * `top` rows come to the driver.
     """
-    d = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
-    d = d.withColumn("n", F.size(words(F.col("text")))).where(F.col("n") >= min_words)
-    sums = [F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(len(CLASS_PATTERNS) + 1)]
-    totals = _with_classes(d.select("lang", "n", _squeezed(F.col("text")).alias("chars"))).groupBy("lang").agg(F.sum("n").alias("n"), *sums)
+    d = docs.select(F.col(lang_col).cast("string").alias("lang"), words(F.col(text_col).cast("string")).alias("ws")).where(F.col("lang").isNotNull() & (F.size("ws") >= min_words))
+    # one pass over the texts; classes and plain forms are those of the distinct words
+    ws = Workspace(docs.sparkSession, "references")
+    counted = ws.write(d.select("lang", F.explode("ws").alias("chars")).groupBy("lang", "chars").agg(F.count(F.lit(1)).alias("c")), "words")
+    sums = [F.sum(F.col("c") * F.col("classes")[i]).alias(f"c{i}") for i in range(len(CLASS_PATTERNS) + 1)]
+    totals = _with_classes(counted).groupBy("lang").agg(F.sum("c").alias("n"), *sums)
     best = totals.where(F.col("n") >= least_words).orderBy(F.col("n").desc(), "lang").limit(languages).collect()
-    seen = d.select("lang", F.explode(_plain_words(F.col("text"))).alias("w")).where(F.col("lang").isin([r.lang for r in best])).groupBy("lang", "w").agg(F.count(F.lit(1)).alias("c"))
+    plain = F.lower(F.rtrim("chars", F.lit(".,;:")))
+    seen = counted.where(F.col("lang").isin([r.lang for r in best])).groupBy("lang", plain.alias("w")).agg(F.sum("c").alias("c"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("c").desc(), "w"))
     common = seen.where(F.col("w").rlike(r"^\p{L}")).withColumn("r", rank).where(F.col("r") <= top).collect() if best else []
+    ws.drop(counted)
     out = []
     for t in best:
         mine = sorted((r for r in common if r.lang == t.lang), key=lambda r: r.r)
