@@ -21,20 +21,16 @@ from pyspark.sql.window import Window
 
 from .common import Workspace, let, words
 
-_SEP = r"[\x20\x09-\x0D]"
+_SEP, _WORD = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
 #: Classes of characters in words: lower-case letters, other letters, digits, sentence punctuation, other ASCII marks, the rest.
 CLASS_PATTERNS = (r"\p{Ll}+", r"[\p{L}&&[^\p{Ll}]]+", r"\p{Nd}+", r"[.,;:!?'\"()\-]+", r"[\p{Punct}&&[^.,;:!?'\"()\-]]+")
 CLASS_LIMIT, WORD_LIMIT = 0.26, 0.33
 _REFERENCE = "array<struct<lang string, words array<string>, shares array<double>, classes array<double>>>"
 
 
-def _plain_words(text: Column) -> Column:
-    """Words in lower case without closing marks."""
-    return F.array_remove(F.split(F.lower(F.regexp_replace(text, rf"[.,;:]+(?={_SEP}|\z)", "")), rf"{_SEP}+"), "")
-
-
-def _squeezed(text: Column) -> Column:
-    return F.regexp_replace(text, rf"{_SEP}+", "")
+def _plain(word: Column) -> Column:
+    """A word in lower case without closing marks."""
+    return F.lower(F.rtrim(word, F.lit(".,;:")))
 
 
 def _with_classes(d: DataFrame) -> DataFrame:
@@ -55,15 +51,16 @@ def fit_references(docs: DataFrame, *, text_col: str = "text", lang_col: str = "
     fewer than least_words words have no reference; of the others, the `languages` with most words have one. Ties go to
     the smaller word or language. An empty table has none. `languages` * `top` rows come to the driver.
     """
-    d = docs.select(F.col(lang_col).cast("string").alias("lang"), words(F.col(text_col).cast("string")).alias("ws")).where(F.col("lang").isNotNull() & (F.size("ws") >= min_words))
+    d = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    # the first min_words words are looked for: a count of all would split every text once more
+    d = d.where(F.col("lang").isNotNull() & F.col("text").rlike(rf"\A{_SEP}*+(?:{_WORD}++{_SEP}*+){{{min_words}}}+"))
     # one pass over the texts; classes and plain forms are those of the distinct words
     ws = Workspace(docs.sparkSession, "references")
-    counted = ws.write(d.select("lang", F.explode("ws").alias("chars")).groupBy("lang", "chars").agg(F.count(F.lit(1)).alias("c")), "words")
+    counted = ws.write(d.select("lang", F.explode(words(F.col("text"))).alias("chars")).groupBy("lang", "chars").agg(F.count(F.lit(1)).alias("c")), "words")
     sums = [F.sum(F.col("c") * F.col("classes")[i]).alias(f"c{i}") for i in range(len(CLASS_PATTERNS) + 1)]
     totals = _with_classes(counted).groupBy("lang").agg(F.sum("c").alias("n"), *sums)
     best = totals.where(F.col("n") >= least_words).orderBy(F.col("n").desc(), "lang").limit(languages).collect()
-    plain = F.lower(F.rtrim("chars", F.lit(".,;:")))
-    seen = counted.where(F.col("lang").isin([r.lang for r in best])).groupBy("lang", plain.alias("w")).agg(F.sum("c").alias("c"))
+    seen = counted.where(F.col("lang").isin([r.lang for r in best])).groupBy("lang", _plain(F.col("chars")).alias("w")).agg(F.sum("c").alias("c"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("c").desc(), "w"))
     common = seen.where(F.col("w").rlike(r"^\p{L}")).withColumn("r", rank).where(F.col("r") <= top).collect() if best else []
     ws.drop(counted)
@@ -76,12 +73,19 @@ def fit_references(docs: DataFrame, *, text_col: str = "text", lang_col: str = "
     return out
 
 
-def _repeat_words(ws: Column, n: Column) -> Column:
-    """Words that lie in a 3-word window found twice or more in the text.
+def _with_repeats(d: DataFrame) -> DataFrame:
+    """d, which has the words `ws`, with `n_repeat_words`: how many lie in a 3-word window found twice or more in the text.
 
-    Windows are sorted by hash and position; neighbours with equal hashes are compared as words.
+    Most texts have no two windows of one hash and are done. In the others, windows are sorted as numbers, the hash above the
+    position, and only neighbours with equal shortened hashes are looked at: they are sorted by whole hash and position, and
+    neighbours with equal hashes are compared as words. Each step is a column, since sorts inside lambdas are slow. The last
+    two windows are shorter and equal none.
     """
-    hashed = F.transform(ws, lambda w, i: F.struct(F.xxhash64(w, F.get(ws, i + 1), F.get(ws, i + 2)).alias("h"), i.alias("i")))
+    ws, windows = F.col("ws"), F.col("windows_")
+    shifted = lambda how, x: F.call_function(how, x, F.col("bits_"))
+
+    def neighbours(s: Column, f) -> Column:
+        return F.array_compact(F.zip_with(s, F.slice(s, F.lit(2), F.size(s)), f))
 
     def pair(x: Column, y: Column) -> Column:
         """Positions of two neighbours that are the same window, else null."""
@@ -90,9 +94,17 @@ def _repeat_words(ws: Column, n: Column) -> Column:
             same = same & (F.get(ws, x["i"] + k) == F.get(ws, y["i"] + k))
         return F.when(same, F.array(x["i"], y["i"]))
 
-    found = let(F.sort_array(F.slice(hashed, F.lit(1), F.greatest(n - 2, F.lit(0)))), lambda s: F.transform(s, lambda x, i: pair(x, F.get(s, i + 1))))
-    at = F.sort_array(F.flatten(F.filter(found, lambda p: p.isNotNull())))  # a place may stand here twice: it then adds nothing
-    return let(at, lambda p: F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - x, F.lit(3)))), F.lit(0).cast("long"), lambda a, b: a + b))
+    hashes = let(F.transform(ws, lambda w: F.xxhash64(w)), lambda h: F.transform(h, lambda x, i: F.xxhash64(x, F.get(h, i + 1), F.get(h, i + 2))))
+    d = d.withColumns({"windows_": hashes, "bits_": F.length(F.bin(F.size("ws")))})
+    packed = F.sort_array(F.transform(windows, lambda h, i: shifted("shiftleft", h).bitwiseOR(i.cast("long"))))
+    d = d.withColumn("packed_", F.when(F.size(F.array_distinct(windows)) < F.size(windows), packed))
+    close = neighbours(F.col("packed_"), lambda x, y: F.when(shifted("shiftrightunsigned", x.bitwiseXOR(y)) == 0, F.array(x, y)))
+    at = F.transform(F.array_distinct(F.flatten(close)), lambda x: (x - shifted("shiftleft", shifted("shiftright", x))).cast("int"))
+    d = d.withColumn("found_", F.sort_array(F.transform(at, lambda i: F.struct(F.get(windows, i).alias("h"), i.alias("i")))))
+    d = d.withColumn("marked_", F.sort_array(F.flatten(neighbours(F.col("found_"), pair))))  # a place may stand here twice: it then adds nothing
+    steps = F.transform("marked_", lambda x, i: F.least(F.lit(3), F.coalesce(F.get(F.col("marked_"), i + 1) - x, F.lit(3))))
+    count = F.aggregate(steps, F.lit(0).cast("long"), lambda a, b: a + b)
+    return d.withColumn("n_repeat_words", F.coalesce(count, F.lit(0).cast("long"))).drop("windows_", "bits_", "packed_", "found_", "marked_")
 
 
 def _distance(p: Column, q: Column) -> Column:
@@ -106,14 +118,14 @@ def _distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(F.zip_with(p, q, term), F.lit(0.0), lambda a, b: a + b)))
 
 
-def _word_shares(plain: Column, n: Column, common: Column, codes: str) -> Column:
-    """Shares of the common words and of all others. Every word is written as one character, the first code for any other
-    word, and those of the common ones are counted."""
-    coded = F.replace(F.array_join(F.transform(plain, lambda w: F.substring(F.lit(codes), F.array_position(common, w).cast("int") + 1, F.lit(1))), ""), F.lit(codes[0]), F.lit(""))
+def _word_shares(hits: Column, n: Column, common: Column, codes: str) -> Column:
+    """Shares of the common words and of all others, from the words of the text that are common in some language. Each is
+    written as one character, the first code for one of another language, and those of the common ones are counted."""
+    coded = F.replace(F.array_join(F.transform(hits, lambda w: F.substring(F.lit(codes), F.array_position(common, w).cast("int") + 1, F.lit(1))), ""), F.lit(codes[0]), F.lit(""))
 
     def counted(s: Column) -> Column:
-        hits = F.transform(common, lambda w, i: F.length(s) - F.length(F.replace(s, F.substring(F.lit(codes), i + 2, F.lit(1)), F.lit(""))))
-        return F.transform(F.concat(hits, F.array(n - F.length(s))), lambda x: x / n)
+        found = F.transform(common, lambda w, i: F.length(s) - F.length(F.replace(s, F.substring(F.lit(codes), i + 2, F.lit(1)), F.lit(""))))
+        return F.transform(F.concat(found, F.array(n - F.length(s))), lambda x: x / n)
 
     return let(coded, counted)
 
@@ -144,23 +156,24 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, lang_col: str | None, r
     row = ["row_"] if carry else []
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), lang.alias("lang"), *([F.struct("*").alias("row_")] if carry else []))
     d = d.withColumn("ws", words(F.col("text")))
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    d = d.select(*row, "doc_id", "lang", "ws", F.size("ws").alias("n"), _squeezed(F.col("text")).alias("chars"), lines.alias("lines"), _plain_words(F.col("text")).alias("plain"))
-    d = _with_classes(d).select(
-        *row, "doc_id", "lang", "n", "plain", "classes",
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(_WORD))
+    vocabulary = sorted({w for r in references for w in r["words"]})
+    hits = F.transform(F.filter("ws", lambda w: _plain(w).isin(vocabulary)), _plain)
+    d = d.select(*row, "doc_id", "lang", "ws", F.size("ws").alias("n"), F.array_join("ws", "").alias("chars"), lines.alias("lines"), hits.alias("hits"))
+    d = _with_classes(_with_repeats(d)).select(
+        *row, "doc_id", "lang", "n", "hits", "classes", "n_repeat_words",
         F.length("chars").cast("long").alias("word_chars"),
         (F.length("chars") - F.length(F.regexp_replace("chars", r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.when(F.col("n") >= 4, _repeat_words(F.col("ws"), F.col("n"))).otherwise(F.lit(0).cast("long")).alias("n_repeat_words"),
     )
     known = F.from_json(F.lit(json.dumps(references)), _REFERENCE)
     own = F.filter(known, lambda r: r["lang"] == F.col("lang"))
     d = d.withColumn("refs", F.when(F.col("lang").isin([r["lang"] for r in references]), own).otherwise(known))
     shares = F.transform("classes", lambda x: x / F.greatest(F.col("word_chars"), F.lit(1)))
-    codes = "".join(chr(0x100 + i) for i in range(1 + max((len(r["words"]) for r in references), default=0)))
+    codes = "".join(chr(0x21 + i) for i in range(1 + max((len(r["words"]) for r in references), default=0)))
     d = d.withColumns({
         "class_distance": F.when(F.col("word_chars") >= min_chars, let(shares, lambda p: F.array_min(F.transform("refs", lambda r: _distance(p, r["classes"]))))),
-        "word_distance": F.when(F.col("n") >= min_words, F.array_min(F.transform("refs", lambda r: _distance(_word_shares(F.col("plain"), F.col("n"), r["words"], codes), r["shares"])))),
+        "word_distance": F.when(F.col("n") >= min_words, F.array_min(F.transform("refs", lambda r: _distance(_word_shares(F.col("hits"), F.col("n"), r["words"], codes), r["shares"])))),
         "n_words": F.col("n").cast("long"),
     })
     d = d.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))

@@ -169,6 +169,32 @@ def test_divergent_texts_go(spark, references):
     assert quality_rules.keep_good(d, references=references).collect() == d.where("doc_id = 0").collect()
 
 
+def test_texts_are_split_into_words_once(spark, references, monkeypatch):
+    """A pass over the texts costs most of what the operator does; every split reads them whole."""
+    d = spark.createDataFrame([(i, prose(i), "en") for i in range(40)], "doc_id long, text string, lang string")
+    splits = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count(r"[\x20\x09-\x0D]+, -1)")
+    plans, write = [], Workspace.write
+    monkeypatch.setattr(Workspace, "write", lambda ws, df, name="t": plans.append(splits(df)) or write(ws, df, name))
+    assert [r["lang"] for r in quality_rules.fit_references(d, least_words=1000)] == ["en"]
+    assert plans == [1] and splits(quality_rules.quality_rules(d, references=references)) == 1
+
+
+def test_repeated_windows_equal_plain_counting(spark):
+    r = random.Random(5)
+    texts = [r.choice([" ", "\n", " \t "]).join(r.choice("abcdefgh"[: 2 + i % 7]) for _ in range(r.choice([*range(12), 60, 300]))) for i in range(150)]
+    texts += ["a b c a b c", "a a a", "a a a a", "x y z w x y z", "a b a b", "a b c " * 700, " ".join(map(str, range(3000))) + " 7 8 9"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for row in quality_rules.quality_rules(d, lang_col=None).collect():
+        assert tuple(row)[1:7] == base(texts[row.doc_id]), texts[row.doc_id]
+
+
+def test_references_count_texts_of_enough_words(spark):
+    texts = ["w " * 49, " v" * 50, "\x0bu\x0b\n" * 51 + "long" * 5000, "\xa0t " * 50, "", " \n", None]
+    refs = quality_rules.fit_references(spark.createDataFrame([(t, "en") for t in texts], "text string, lang string"), least_words=1)
+    n = 50 + 52 + 50
+    assert refs[0]["words"] == ["u", "v", "long" * 5000] and np.allclose(refs[0]["shares"], [51 / n, 50 / n, 1 / n, 50 / n])
+
+
 # ---- 2
 
 
